@@ -21,6 +21,9 @@ SPACED[[32, 9, 10, 11, 12, 13]] = False
 #: Bytes of a word of letters and digits: 0-9, a-z and all of a non-ASCII character.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
+#: Bytes of a line without its line feed.
+NO_BREAK = np.ones(256, bool)
+NO_BREAK[10] = False
 
 
 def mix(h: np.ndarray) -> np.ndarray:

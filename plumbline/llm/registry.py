@@ -1,8 +1,12 @@
 """Queries of this subpackage and, where SQL can express one, its DuckDB form."""
 
 from plumbline.llm.decontaminate import op7_decontaminate
+from plumbline.llm.neardup import op3_near_duplicates
+from plumbline.llm.quality import op5_quality
 
 QUERIES = {
+    "op3_near_duplicates": op3_near_duplicates,
+    "op5_quality": op5_quality,
     "op7_decontaminate": op7_decontaminate,
 }
 
