@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch holds few.
-ARROW_ROWS = 512
+ARROW_ROWS = 256
 
 _written: list[tuple[object, str]] = []
 
@@ -47,8 +47,9 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds what a Python worker holds at once: ``rows`` rows."""
+    """Bounds what a reader of Parquet and a Python worker hold at once: ``rows`` rows."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

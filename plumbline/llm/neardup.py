@@ -231,6 +231,23 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, doc_
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def deduplicated(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """``documents`` with one row of each component: that of the least doc_id.
+
+    Of rows repeated with the same doc_id one stays, the least text first. Rows without shingles
+    and rows without doc_id are all kept.
+    """
+    found = R.written(near_duplicates(documents, percent, size), "components")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
+    kept = documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    if twice.limit(1).count() == 0:
+        return kept
+    again = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
+    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
+    return kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti").unionByName(first)
+
+
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     """Components of all documents by 4-word shingles at 80 percent."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=80, size=4)

@@ -246,6 +246,19 @@ def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     return scored(rows, model, threshold).select("doc_id", "held_out", "score", "predicted")
 
 
+def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``documents`` whose predicted quality is 1, with the columns they have.
+
+    The model is fitted on the labelled ones of ``documents`` as in ``classify``.
+    """
+    names = documents.columns
+    rows = measured(documents.select("doc_id", "text"))
+    rows = R.written(rows.select("doc_id", "features"), "features")
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out("doc_id"))
+    model = fit(rows.join(known, "doc_id").select("doc_id", "features", "label"), sample)
+    return scored(measured(documents), model, threshold).where("predicted = 1").select(*names)
+
+
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of the labels."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,13 +1,17 @@
 """Queries of this subpackage and, where SQL can express one, its DuckDB form."""
 
 from plumbline.llm.decontaminate import op7_decontaminate
+from plumbline.llm.mixing import op1_mix
 from plumbline.llm.neardup import op3_near_duplicates
 from plumbline.llm.quality import op5_quality
+from plumbline.llm.tokens import op10_token_blocks
 
 QUERIES = {
+    "op1_mix": op1_mix,
     "op3_near_duplicates": op3_near_duplicates,
     "op5_quality": op5_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op10_token_blocks": op10_token_blocks,
 }
 
 SQL: dict[str, str] = {}
