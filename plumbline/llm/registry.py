@@ -1,17 +1,25 @@
 """Queries of this subpackage and, where SQL can express one, its DuckDB form."""
 
+from plumbline.llm.chat import OP8_SQL, op8_chat_format
 from plumbline.llm.decontaminate import op7_decontaminate
+from plumbline.llm.gif import op4_media
 from plumbline.llm.mixing import op1_mix
 from plumbline.llm.neardup import op3_near_duplicates
 from plumbline.llm.quality import op5_quality
 from plumbline.llm.tokens import op10_token_blocks
+from plumbline.llm.urls import op2_url_filter
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_url_filter": op2_url_filter,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_media": op4_media,
     "op5_quality": op5_quality,
     "op7_decontaminate": op7_decontaminate,
+    "op8_chat_format": op8_chat_format,
     "op10_token_blocks": op10_token_blocks,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op8_chat_format": OP8_SQL,
+}
