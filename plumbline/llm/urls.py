@@ -20,7 +20,9 @@ LISTED = (
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"),
     ("allow", "com/fr/"), ("block", "com/de/"),
 )
-SUPPORT, CONFIDENCE = 0.004, 0.9
+#: Least share of labelled URLs that a rule holds for, and least number: below that every URL's
+#: token set is itself frequent and there are as many combinations as subsets.
+SUPPORT, LEAST, CONFIDENCE = 0.004, 8, 0.9
 VERDICT = "verdict="
 #: A set of more tokens is mined by its first ones in order; matching sees all of them.
 MINED = 16
@@ -87,6 +89,9 @@ def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     empty = rows.sparkSession.createDataFrame([], "id long, tokens array<string>, says string, confidence double, support double")
     if not n:
         return empty
+    support = max(support, LEAST / n)
+    if support > 1:
+        return empty
     frequent = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= support * n).select("token")
     keyed = known.withColumn("row", F.monotonically_increasing_id())
     keyed = R.written(keyed, "labelled")
