@@ -8,10 +8,11 @@ band are candidates. With 24 bands a pair at similarity 0.8 is missed with proba
 Candidates pass a Jaccard estimate from matching registers, corrected for registers that agree by
 collision, with five standard deviations to spare; then both whole texts are compared.
 
-Equal sets are one node from the start, so exact copies never meet. Within a band's bucket no pairs
-are listed: one member is the pivot, all others in other components are compared with it, and it
-leaves the bucket. Buckets whose remaining members are one component are done; the others go on
-with more pivots, so every pair of a bucket is compared or already connected.
+Equal sets are one node from the start, so exact copies never meet. In each band's bucket one
+member is the pivot that all others are compared with. Buckets whose other members are one
+component by then are done. Of the rest, small ones list their pairs of different components, a
+bounded number per member; members of large ones are dealt over blocks, and two blocks are compared
+in one call that returns links alone. So every pair of a bucket is compared or already connected.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from plumbline.llm.components import components
 ROWS, BANDS, MANTISSA = 4, 24, 10
 BUCKETS = ROWS * BANDS
 SLACK = 5.0
+#: Buckets of up to so many members list their pairs; larger ones are compared in blocks.
+SMALL = 24
+#: Shingles in a block of a large group.
+BLOCK_SHINGLES = 60_000
 SKETCH = StructType([StructField("n_shingles", LongType()), StructField("node", BinaryType()), StructField("sketch", BinaryType())])
 
 _random = np.random.RandomState(20240229)
@@ -167,40 +172,113 @@ def links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str,
     return R.written(both.select("a", "b", "a_text", "b_text").mapInArrow(confirmed(percent, size), "a binary, b binary").distinct(), "links")
 
 
+def block_links(percent: int):
+    """Links between the members of two blocks that no link connects yet.
+
+    Pairs that share a band are taken in order of estimate; a pair whose components are joined by
+    then is skipped, and the others' whole sets are compared.
+    """
+    threshold = percent / 100
+    low = threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+
+    def members(cell):
+        rows = cell.values
+        sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), "<u2").reshape(-1, BUCKETS)
+        return rows.field("node").to_pylist(), rows.field("component").to_pylist(), sketch, [np.frombuffer(x, "<u8") for x in rows.field("members").to_pylist()]
+
+    def pairs(x, y):
+        (_, _, a, p), (_, _, b, q) = x, y
+        n, m = np.array([len(v) for v in p], float), np.array([len(v) for v in q], float)
+        bands = a.view("<i8"), b.view("<i8")
+        for i in range(len(a)):
+            share = (bands[0][i] == bands[1]).any(1) & (np.minimum(n[i], m) >= threshold * np.maximum(n[i], m))
+            j = np.flatnonzero(share)
+            e = estimated(np.full(len(j), n[i]), m[j], a[[i]], b[j])
+            yield from ((v, i, k) for v, k in zip(e.tolist(), j.tolist(), strict=True) if v >= low)
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple[bytes, bytes]] = []
+            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+                x, y = members(left), members(right)
+                parent: dict[bytes, bytes] = {}
+
+                def root(c: bytes, parent=parent) -> bytes:
+                    while parent.get(c, c) != c:
+                        c = parent[c]
+                    return c
+
+                for _, i, k in sorted(pairs(x, y), key=lambda t: (-t[0], t[1], t[2])):
+                    one, two = root(x[1][i]), root(y[1][k])
+                    if one == two:
+                        continue
+                    p, q = x[3][i], y[3][k]
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        parent[one] = two
+                        found.append((x[0][i], y[0][k]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def set_rows(size: int):
+    def run(batches):
+        for batch in batches:
+            found = [x for part in W.slices(batch.set_column(1, "text", A.filled(batch.column(1))), "text") for x in sets(part.column(1), size)]
+            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "members"])
+
+    return run
+
+
+def large_links(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
+    """Links within large ``buckets`` (hub, node, component) of several components.
+
+    Buckets that share members are one group, in which each set is held once. A group's members
+    are dealt over blocks of about BLOCK_SHINGLES shingles; those of its largest component are
+    compared with others only. Two blocks are compared in one call, which returns links alone.
+    """
+    spark = nodes.sparkSession
+    group = components(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    rows = buckets.select("node", "component").distinct().join(group.select("node", F.col("component").alias("group")), "node")
+    rows = R.written(rows.join(nodes.select("node", "doc", "n_shingles", "sketch"), "node"), "large")
+    most = rows.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max_by("w", F.struct("n", "component")).alias("w"), F.sum("w").alias("all"))
+    wanted = rows.select("doc").distinct()
+    texts = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
+    whole = texts.mapInArrow(set_rows(size), "node binary, members binary").dropDuplicates(["node"])
+    minor = F.col("component") != F.col("most")
+    count = F.ceil(F.when(minor, F.col("all") - F.col("w")).otherwise(F.col("w")) / BLOCK_SHINGLES)
+    rows = rows.join(most, "group").select("group", "node", "component", "sketch", minor.alias("minor"), F.pmod(F.xxhash64("node"), count).alias("block"))
+    blocks = rows.join(whole, "node").groupBy("group", "minor", "block").agg(F.collect_list(F.struct("node", "component", "sketch", "members")).alias("x"))
+    blocks = R.written(blocks, "blocks")
+    pairs = blocks.where("minor").select("group", F.col("block").alias("first"), F.col("x").alias("left")).join(blocks.select("group", "minor", "block", F.col("x").alias("right")), "group")
+    pairs = pairs.where(~F.col("minor") | (F.col("block") >= F.col("first"))).select("left", "right")
+    R.small_batches(spark, 8)
+    found = R.written(pairs.mapInArrow(block_links(percent), "a binary, b binary"), "links")
+    R.small_batches(spark)
+    return found
+
+
 def grouped(nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame | None:
     """(node, component) of nodes that have links; None where no node has."""
-    spark = nodes.sparkSession
     bands = nodes.select("node", "sketch").mapInArrow(banded, "band int, value long, node binary")
     keys = bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    left = R.written(bands.join(keys, ["band", "value"]).select("band", "value", "node", "pivot"), "buckets")
-    pairs = left.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    tested, found, pivots = None, None, 1
-    left = left.where("node <> pivot").select("band", "value", "node")
-    names = None
-    while True:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = R.written(pairs, "pairs")
-        new = links(pairs, nodes, documents, doc_id, text, percent, size)
-        tested = pairs if tested is None else tested.union(pairs)
-        if new.limit(1).count():
-            found = new if found is None else found.union(new)
-            names = components(found)
-        # what is left: buckets whose members are in several components
-        named = left if names is None else left.join(names, "node", "left")
-        named = named.withColumn("component", F.coalesce("component", "node") if names is not None else F.col("node"))
-        sizes = named.groupBy("band", "value", "component").agg(F.count("*").alias("n")).groupBy("band", "value").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-        left = R.written(named.join(sizes, ["band", "value"]), "buckets")
-        # pivots: members outside their bucket's largest component
-        order = Window.partitionBy("band", "value").orderBy("node")
-        chosen = left.where("component <> most").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pivots)
-        chosen = R.written(chosen.select("band", "value", F.col("node").alias("pivot"), F.col("component").alias("own")), "pivots")
-        if chosen.limit(1).count() == 0:
-            return names
-        pairs = left.join(chosen, ["band", "value"]).where("component <> own").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-        left = left.select("band", "value", "node").join(chosen.select("band", "value", F.col("pivot").alias("node")), ["band", "value", "node"], "left_anti")
-        pivots *= 8
+    buckets = R.written(bands.join(keys, ["band", "value"]).where("node <> pivot").select("band", "value", "node", "pivot"), "buckets")
+    pairs = R.written(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    found = links(pairs, nodes, documents, doc_id, text, percent, size)
+    # buckets whose members beside the pivot, which is compared with all, are in several components
+    named = buckets.select("band", "value", "node").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = R.written(named, "named")
+    open_ = named.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
+    left = R.written(named.join(open_.select("band", "value", "hub", "n"), ["band", "value"]), "open")
+    small = left.where(F.col("n") <= SMALL)
+    other = small.select("band", "value", F.col("node").alias("b"), F.col("component").alias("own"))
+    pairs = small.select("band", "value", F.col("node").alias("a"), "component").join(other, ["band", "value"]).where("a < b and component <> own").select("a", "b").distinct()
+    found = found.union(links(R.written(pairs, "pairs"), nodes, documents, doc_id, text, percent, size))
+    large = left.where(F.col("n") > SMALL).select("hub", "node", "component")
+    if large.limit(1).count():
+        found = found.union(large_links(large, nodes, documents, doc_id, text, percent, size))
+    return components(found) if found.limit(1).count() else None
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
