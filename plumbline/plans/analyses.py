@@ -116,6 +116,8 @@ def pearson_p(r: float | None, n: int) -> float | None:
 
 def tail(a: float, b: float, x: float) -> float:
     """The regularised incomplete beta function I_x(a, b) by Lentz's method."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
     front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
     tiny, c, d = 1e-300, 1.0, 0.0
     d = 1 / (1 - (a + b) * x / (a + 1) or tiny)
