@@ -96,7 +96,8 @@ def mixed(documents: DataFrame, **parameters) -> DataFrame:
     if (rows.agg(F.max("ordinal")).first()[0] or 1) > 1:
         numbered = documents.withColumn("_size", words(F.col("text"))).withColumn("_ordinal", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("_size", F.xxhash64("text")))).drop("_size")
     taken = rows.where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("ordinal").alias("_number"), "copies")
-    kept = numbered.join(taken.withColumnRenamed("copies", "_copies"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_ordinal") == F.col("_number")))
+    # texts are always sorted to the plan: a broadcast while the plan is small would be another plan
+    kept = numbered.join(taken.withColumnRenamed("copies", "_copies").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_ordinal") == F.col("_number")))
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
 
 

@@ -316,7 +316,7 @@ def deduplicated(documents: DataFrame, percent: int = 80, size: int = 5) -> Data
     and rows without doc_id are all kept.
     """
     found = R.written(near_duplicates(documents, percent, size), "components")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")  # the same plan at every size
     twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
     kept = documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     if twice.limit(1).count() == 0:
