@@ -124,7 +124,7 @@ def deduplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     keyed = numbered(base.drop(*[c for c in PLACE if c in base.columns]))
     lines = R.written(places(keyed.select(*PLACE, "text"), min_words), "lines")
     found = R.written(runs(later_runs(lines, min_words)), "spans")
-    out = keyed.join(found, PLACE, "left")
+    out = keyed.join(found.hint("merge"), PLACE, "left")  # the same plan at every size
     rows = F.split("text", "\n")
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = out.withColumn("runs", F.coalesce("runs", none))
