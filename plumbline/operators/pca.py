@@ -58,6 +58,11 @@ def fit(sample: DataFrame, dim: int, column: str = "features") -> Basis:
     rows = sample.select(column).coalesce(PARTS).mapInArrow(sums, "n long, total binary, moment binary").collect()
     if not rows:
         raise ValueError("no vectors to fit a basis on")
+    return solved(rows, dim)
+
+
+def solved(rows, dim: int) -> Basis:
+    """The basis of partial sums (n, total, moment)."""
     n = sum(r["n"] for r in rows)
     total = sum(np.frombuffer(r["total"]) for r in rows)
     d = len(total)
@@ -66,8 +71,67 @@ def fit(sample: DataFrame, dim: int, column: str = "features") -> Basis:
     values, vectors = np.linalg.eigh(cov)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1].T
     vectors = vectors * np.sign(vectors[np.arange(d), np.abs(vectors).argmax(1)])[:, None]
-    k = min(dim, d, n)
-    return Basis(mean, None if d <= dim else vectors[:k], values)
+    return Basis(mean, None if d <= dim else vectors[: min(dim, d, n)], values)
+
+
+def fit_by(sample: DataFrame, key: str, dim: int, column: str = "features") -> DataFrame:
+    """(key, mean, components) of each value of ``key``, as bytes; sums are added by key on the
+    executors, one matrix per partition and key."""
+    def sums(batches):
+        states: dict = {}
+        for batch in batches:
+            x, keys = matrix(batch.column(1)), np.array(batch.column(0).to_pylist(), object)
+            for k in set(keys.tolist()):
+                own = x[keys == k]
+                state = states.setdefault(k, [0, np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))])
+                state[0] += len(own)
+                state[1] += own.sum(0)
+                state[2] += own.T @ own
+        if states:
+            yield pa.RecordBatch.from_arrays([pa.array(list(states)), pa.array([v[0] for v in states.values()]), pa.array([v[1].tobytes() for v in states.values()], pa.binary()), pa.array([v[2].tobytes() for v in states.values()], pa.binary())], names=[key, "n", "total", "moment"])
+
+    def solve(at, g):
+        import pandas as pd
+
+        basis = solved(g.to_dict("records"), dim)
+        return pd.DataFrame({key: [at[0]], "mean": [basis.mean.tobytes()], "components": [None if basis.components is None else basis.components.tobytes()]})
+
+    partial = sample.select(key, column).coalesce(PARTS).mapInArrow(sums, f"{key} string, n long, total binary, moment binary")
+    return partial.groupBy(key).applyInPandas(solve, f"{key} string, mean binary, components binary")
+
+
+def project_by(df: DataFrame, bases: DataFrame, key: str, column: str = "features", limit: int = 64 << 20) -> DataFrame:
+    """``df`` with each row in the basis of its key. Bases reach the workers in groups of about
+    ``limit`` bytes, each projecting its own keys' rows."""
+    rest = [c for c in df.columns if c != column]
+    rows = df.select(*rest, F.col(column).cast("array<double>").alias(column))
+    at, names = rest.index(key), rows.columns
+
+    def projected(group: dict):
+        sent = df.sparkSession.sparkContext.broadcast(group)
+
+        def run(batches):
+            for batch in batches:
+                keys, x = np.array(batch.column(at).to_pylist(), object), matrix(batch.column(batch.num_columns - 1))
+                for k in sorted(set(keys.tolist())):
+                    y = sent.value[k].transform(x[keys == k])
+                    kept = batch.filter(pa.array(keys == k))
+                    ends = pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(ends, pa.array(y.ravel()))], names=names)
+
+        return rows.where(F.col(key).isin(*group)).mapInArrow(run, rows.schema)
+
+    out, group, size = None, {}, 0
+    for r in [*bases.toLocalIterator(), None]:  # one basis at a time
+        if r is not None:
+            mean = np.frombuffer(r["mean"])
+            basis = Basis(mean, None if r["components"] is None else np.frombuffer(r["components"]).reshape(-1, len(mean)), np.zeros(0))
+            size += len(r["mean"]) + len(r["components"] or b"")
+            group[r[key]] = basis
+        if group and (r is None or size > limit):
+            part = projected(group)
+            out, group, size = part if out is None else out.unionByName(part), {}, 0
+    return rows if out is None else out
 
 
 def project(df: DataFrame, basis: Basis, column: str = "features", out: str = "features") -> DataFrame:

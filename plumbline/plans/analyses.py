@@ -29,10 +29,7 @@ def by_run(rows: DataFrame, bootstrap: int, pca_dim: int, normalise: bool = True
         means = sample.groupBy("run_id").agg(vec.mean_vector("features").alias("_mean"))
         out = rows.join(means, "run_id").withColumn("features", vec.minus(F.col("features"), F.col("_mean"))).drop("_mean")
     else:
-        parts = [projected(rows.where(F.col("run_id") == r["run_id"]), sample.where(F.col("run_id") == r["run_id"]), pca_dim) for r in rows.select("run_id").distinct().orderBy("run_id").collect()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+        out = pca.project_by(rows, pca.fit_by(sample, "run_id", pca_dim), "run_id")
     return out.withColumn("features", vec.unit(F.col("features"))) if normalise else out
 
 

@@ -143,6 +143,16 @@ def test_pca(spark):
         pca.fit(df.where("false"), 3)
 
 
+def test_pca_by_key(spark, small):
+    b = fixture(spark, small)
+    bases = pca.fit_by(b.features, "run_id", 5)
+    got = pca.project_by(b.features, bases, "run_id", limit=3000)
+    assert got.count() == b.features.count()
+    own = pca.project(b.features.where("run_id = 'run_2'"), pca.fit(b.features.where("run_id = 'run_2'"), 5))
+    a, c = (np.array([r.features for r in d.where("run_id = 'run_2'").orderBy("feat_idx").collect()]) for d in (got, own))
+    assert np.allclose(a, c)
+
+
 @pytest.mark.parametrize("metric", ["cosine", "euclidean"])
 def test_k_medoids(metric):
     rng = np.random.default_rng(4)
