@@ -6,13 +6,14 @@ index of block starts, and blocks of 256 ids: the least id, a width in bits chos
 percentiles of the differences' widths, the low bits packed at that width, and an exception list
 with the places and high bits of those that don't fit.
 
-Encoding splits a text in front of single spaces and line feeds that a visible character follows;
-byte-level pre-tokens never cross such a place, so pieces are encoded once and looked up after
-that. Pieces are known by a 64-bit hash.
+Encoding splits a text in front of spaces and line feeds that a visible character follows, and
+between an ASCII letter and punctuation; byte-level pre-tokens never cross such a place, so pieces
+are encoded once and looked up after that. Pieces are known by a 64-bit hash.
 """
 
 from __future__ import annotations
 
+import itertools
 import sys
 import types
 import zlib
@@ -34,10 +35,15 @@ PERCENTILES = (50, 75, 90, 95, 100)
 #: Ids of a segment, from which it takes no further document.
 SEGMENT = 1 << 16
 #: Pieces a worker remembers; it starts anew beyond that. Longer pieces are never kept.
-REMEMBERED, LONGEST = 400_000, 256
+REMEMBERED, LONGEST = 800_000, 256
 #: Bytes that begin a visible character: ASCII, and lead bytes under which no white space lies.
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:0xF5] = True
+LETTER = np.zeros(256, bool)
+LETTER[65:91] = LETTER[97:123] = True
+#: ASCII punctuation, which ends a pre-token of letters.
+MARK = np.zeros(256, bool)
+MARK[33:48] = MARK[58:65] = MARK[91:97] = MARK[123:127] = True
 
 DOCS = ArrayType(StructType([StructField("doc_id", LongType()), StructField("n_tokens", LongType())]))
 FILES = StructType([StructField("part", IntegerType()), StructField("seq", IntegerType()), StructField("n_tokens", LongType()), StructField("docs", DOCS), StructField("image", BinaryType())])
@@ -126,6 +132,17 @@ def ids_of(data: bytes, lo: int = 0, hi: int | None = None) -> np.ndarray:
 # encoding
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level vocabulary writes each byte: visible ones stand for
+    themselves, the others for the letters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+LETTERS = byte_letters()
+
+
 class Encoder:
     """A byte-level BPE tokenizer that remembers pieces."""
 
@@ -136,54 +153,56 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        n = self.tokenizer.get_vocab_size()
-        self.bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(n)], np.int64)
+        self.model = self.tokenizer.model
+        self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.visible = VISIBLE.copy()  # but not the first byte of an added token, which white space in front ends at
-        self.visible[[x.content.encode()[0] for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]] = False
+        self.visible[[x[0] for x in self.added]] = False
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.start, self.length, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def joined(self, pieces: list[bytes]) -> list[np.ndarray]:
-        """The ids of each of pieces that begin with a space or line feed."""
-        out: list[np.ndarray] = []
-        groups, size, group = [], 0, []
-        for x in pieces:
-            group.append(x)
-            size += len(x)
-            if size > 1 << 15:
-                groups.append(group)
-                size, group = 0, []
-        groups.append(group)
-        texts = self.whole([b"".join(g).decode() for g in groups])
-        for group, ids in zip(groups, texts, strict=True):
-            ends, sums = np.cumsum([len(x) for x in group]), np.cumsum(self.bytes[ids])
-            cut = np.searchsorted(sums, ends)
-            if len(group) and not np.array_equal(sums[cut], ends):
-                raise ValueError("a token crosses a piece")
-            out += np.split(ids, cut[:-1] + 1) if len(group) else []
-        return out
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, one after another, and how many each has."""
-        begins = np.zeros(len(data), bool)
-        begins[:-1] = ((data[:-1] == 32) | (data[:-1] == 10)) & self.visible[data[1:]]
+    def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces, one after another, and how many each has. A Latin word, with or
+        without a space in front, is one pre-token and goes to the model at once."""
+        out: list = [None] * len(texts)
+        rest = []
+        tokenize, letters, space = self.model.tokenize, LETTERS, LETTERS[32]
+        for i, x in enumerate(texts):
+            after = x[1:] if x[:1] == b" " else x
+            if after.isalpha():  # ASCII letters alone
+                out[i] = [t.id for t in tokenize(after.decode() if after is x else space + after.decode())]
+            elif (word := after.decode()).isalpha() and max(word) < "\u0250":
+                out[i] = [t.id for t in tokenize(x.decode("latin-1").translate(letters))]
+            else:
+                rest.append((i, x.decode()))
+        for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False), strict=True):
+            out[i] = e.ids
+        sizes = np.fromiter(map(len, out), np.int64, len(out))
+        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+
+    def begins(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
+        """Where pieces begin: at a text's first byte, at a space or line feed before a visible
+        character, and at ASCII punctuation after an ASCII letter, unless added tokens occur."""
+        out = np.zeros(len(data), bool)
         first = np.zeros(len(data) + 1, bool)
         first[offsets[:-1]] = True
         if len(data):
-            begins[:-1] &= ~first[1:-1]  # the last byte of a text stays with its piece
-        begins |= first[:-1]
-        start = np.flatnonzero(begins)
+            out[:-1] = ((data[:-1] == 32) | (data[:-1] == 10)) & self.visible[data[1:]] & ~first[1:-1]
+            if not any(x in raw for x in self.added):
+                out[1:] |= MARK[data[1:]] & LETTER[data[:-1]]
+        return out | first[:-1]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has."""
+        import pandas as pd
+
+        raw = data.tobytes()
+        start = np.flatnonzero(self.begins(data, offsets, raw))
         end = np.append(start[1:], len(data))
-        head = first[start]
-        length = end - start
         h = np.zeros(len(start), np.uint64)
-        small = np.flatnonzero((length <= LONGEST) & ~head)
+        small = np.flatnonzero(end - start <= LONGEST)
         at = 0
         while at < len(small):  # hashes, some pieces at a time
             to = max(at + 1, int(np.searchsorted(start[small], start[small[at]] + W.BLOCK // 2)))
@@ -194,35 +213,29 @@ class Encoder:
             np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=sums[1:])
             h[small[at:to]] = W.mix((sums[e - lo] - sums[s - lo]) * down[s - lo])
             at = to
-        import pandas as pd
-
         code, kinds = pd.factorize(h[small])
+        kinds = kinds.tolist()
         if len(self.known) > REMEMBERED:
             self.forget()
-        new = [i for i, x in enumerate(kinds.tolist()) if x not in self.known]
+        known = self.known
+        new = [i for i, x in enumerate(kinds) if x not in known]
         if new:
             sample = np.zeros(len(kinds), np.int64)
             sample[code[::-1]] = small[::-1]
             where = sample[new]
-            raw = data.tobytes()
-            found = self.joined([raw[s:e] for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
-            base, size = len(self.start), np.array([len(x) for x in found], np.int64)
-            self.known.update(zip(kinds[new].tolist(), range(base, base + len(new)), strict=True))
+            found, size = self.pieces([raw[s:e] for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            known.update(zip([kinds[i] for i in new], range(len(self.start), len(self.start) + len(new)), strict=True))
             self.start = np.append(self.start, len(self.parts) + np.cumsum(size) - size)
             self.length = np.append(self.length, size)
-            self.parts = np.concatenate((self.parts, *found))
-        # ids of heads of texts and of long pieces, for this batch only
-        rest = np.flatnonzero((length > LONGEST) | head)
-        raw = data.tobytes()
-        found = self.whole([raw[s:e].decode() for s, e in zip(start[rest].tolist(), end[rest].tolist(), strict=True)]) if len(rest) else []
-        extra = np.array([len(x) for x in found], np.int64)
-        store = np.concatenate((self.parts, *found))
+            self.parts = np.concatenate((self.parts, found))
+        long = np.flatnonzero(end - start > LONGEST)
+        found, extra = self.pieces([raw[s:e] for s, e in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+        store = np.concatenate((self.parts, found)) if len(long) else self.parts
         s, n = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
-        slot = np.array([self.known[x] for x in kinds.tolist()], np.int64)[code] if len(small) else np.zeros(0, np.int64)
+        slot = np.fromiter(map(known.__getitem__, kinds), np.int64, len(kinds))[code]
         s[small], n[small] = self.start[slot], self.length[slot]
-        s[rest], n[rest] = len(self.parts) + np.cumsum(extra) - extra, extra
-        total = int(n.sum())
-        ids = store[np.repeat(s - np.cumsum(n) + n, n) + np.arange(total)]
+        s[long], n[long] = len(self.parts) + np.cumsum(extra) - extra, extra
+        ids = store[np.repeat(s - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
         piece = np.searchsorted(start, offsets)
         sums = np.concatenate(([0], np.cumsum(n)))
         return ids, sums[piece[1:]] - sums[piece[:-1]]
