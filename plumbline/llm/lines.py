@@ -22,19 +22,19 @@ from plumbline.llm import _runtime as R
 MIN_WORDS = 10
 WORD = r"[^\x20\x09-\x0D]+"
 NO_ID = -(1 << 63)
-PLACE = ["doc", "copy"]
+PLACE = ["_doc", "_copy"]
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """``documents`` with doc and copy: the id (least for null) and a number among rows of one id."""
-    out = documents.withColumn("doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    again = out.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    order = Window.partitionBy("doc").orderBy("text")
-    return out.withColumn("copy", F.row_number().over(order) if again else F.lit(1))
+    """``documents`` with _doc and _copy: the id (least for null) and a number among rows of one id."""
+    out = documents.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    again = out.groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    order = Window.partitionBy("_doc").orderBy("text")
+    return out.withColumn("_copy", F.row_number().over(order) if again else F.lit(1))
 
 
 def places(documents: DataFrame, min_words: int) -> DataFrame:
-    """A row per line with words: doc, copy, i (among such lines), line, a and b (its id), and its
+    """A row per line with words: _doc, _copy, i (among such lines), line, a and b (its id), and its
     least windows forward (ahead lines, up to line ahead_end) and backward (back, back_start)."""
     rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, n: F.struct(n.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = F.filter(rows, lambda x: x["w"] > 0)
@@ -66,7 +66,7 @@ def ranked(keys: DataFrame, *order: str) -> DataFrame:
 
 
 def doubled(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, copy, k, i, rank) for each repeated run of 2**k lines that starts at line i."""
+    """(_doc, _copy, k, i, rank) for each repeated run of 2**k lines that starts at line i."""
     names = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "a", "b")
     now = R.written(lines.select(*PLACE, "i", "a", "b").join(names, ["a", "b"]).select(*PLACE, "i", "rank"), "runs")
     levels, k = now.withColumn("k", F.lit(0)), 0
@@ -84,7 +84,7 @@ def doubled(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def later_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(doc, copy, start, end) lines of least counting windows that occur earlier; end is included."""
+    """(_doc, _copy, start, end) lines of least counting windows that occur earlier; end is included."""
     levels = doubled(lines, min_words)
     repeated = lines.join(levels.where("k = 0").select(*PLACE, "i"), [*PLACE, "i"])
     ahead = repeated.where("ahead > 0").select(*PLACE, "i", F.col("ahead").alias("n"), F.col("line").alias("start"), F.col("ahead_end").alias("end"))
@@ -101,7 +101,7 @@ def later_runs(lines: DataFrame, min_words: int) -> DataFrame:
 
 
 def runs(windows: DataFrame) -> DataFrame:
-    """(doc, copy, runs) with the union of a document's windows as spans (start, end excluded)."""
+    """(_doc, _copy, runs) with the union of a document's windows as spans (start, end excluded)."""
     order = Window.partitionBy(*PLACE).orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = windows.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
@@ -115,13 +115,14 @@ def deduplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     Lines are parts between line feeds. A run of successive lines, those without words left out,
     counts if it has ``min_words`` words or more; where one occurs again, later in order of doc_id
     and line, the later lines with words are deleted. ``runs`` lists the deleted spans of lines,
-    and lines without words inside them stay. Columns of these names are replaced; others stay.
+    and lines without words inside them stay. Columns of these names are replaced; others
+    stay, but ``_doc``, ``_copy`` and ``_kept`` may not be among them.
 
     A null text is an empty text of one line, and stays null. A null doc_id comes before all
     others; rows of one doc_id are in order of text, so of repeated rows the first one stays.
     """
     base = documents.drop("n_lines", "n_deleted", "runs")
-    keyed = numbered(base.drop(*[c for c in PLACE if c in base.columns]))
+    keyed = numbered(base)
     lines = R.written(places(keyed.select(*PLACE, "text"), min_words), "lines")
     found = R.written(runs(later_runs(lines, min_words)), "spans")
     out = keyed.join(found.hint("merge"), PLACE, "left")  # the same plan at every size
@@ -129,9 +130,9 @@ def deduplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     none = F.array().cast("array<struct<start:int,end:int>>")
     out = out.withColumn("runs", F.coalesce("runs", none))
     kept = F.filter(rows, lambda x, n: ~F.exists("runs", lambda s: (s["start"] <= n) & (n < s["end"])) | (F.regexp_count(x, F.lit(WORD)) == 0))
-    out = out.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(1)).cast("long")).withColumn("kept", F.when(F.size("runs") == 0, rows).otherwise(kept))
-    out = out.withColumn("n_deleted", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("n_deleted") == 0, F.col("text")).otherwise(F.array_join("kept", "\n")))
+    out = out.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(1)).cast("long")).withColumn("_kept", F.when(F.size("runs") == 0, rows).otherwise(kept))
+    out = out.withColumn("n_deleted", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
+    out = out.withColumn("text", F.when(F.col("n_deleted") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")))
     return out.select(*base.columns, "n_lines", "n_deleted", "runs")
 
 
