@@ -7,6 +7,7 @@ import sys
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from plumbline.llm import _runtime as R
@@ -18,15 +19,15 @@ def filled(column):
     return column.fill_null("") if column.null_count else column
 
 
-def extend(df: DataFrame, text: str, fields: StructType, compute, limit: int = 8 << 20) -> DataFrame:
+def extend(df: DataFrame, text: str, fields: StructType, compute, limit: int = 4 << 20) -> DataFrame:
     """``df`` with the columns ``fields`` that ``compute(part)`` returns as Arrow arrays.
 
     ``part`` is a record batch whose column ``text`` holds no null. Columns of ``df`` named as
     one of ``fields`` are replaced; all others, the text included, pass through.
     """
     R.small_batches(df.sparkSession)
-    names = set(fields.fieldNames())
-    base = df.select(*[c for c in df.columns if c not in names])
+    names = {n.lower() for n in fields.fieldNames()}
+    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
     schema = StructType(base.schema.fields + fields.fields)
     at = base.columns.index(text)
 

@@ -114,7 +114,7 @@ def shingles(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def slices(batch, column: str, limit: int = 8 << 20):
+def slices(batch, column: str, limit: int = 4 << 20):
     """Parts of an Arrow batch with about ``limit`` bytes of text, or one longer text, each."""
     sizes = np.cumsum(np.diff(buffers(batch.column(column))[1]))
     at = 0

@@ -105,13 +105,13 @@ def statistics(column) -> np.ndarray:
     return np.stack(columns, 1).astype(np.float32)
 
 
-def measured(documents: DataFrame, text: str = "text") -> DataFrame:
-    """``documents`` with ``features``, the statistics NAMES of each whole text."""
+def measured(documents: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
+    """``documents`` with ``out``, the statistics NAMES of each whole text."""
     def compute(part):
         x = statistics(part.column(text))
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))]
 
-    return A.extend(documents, text, StructType([StructField("features", ArrayType(FloatType()))]), compute)
+    return A.extend(documents, text, StructType([StructField(out, ArrayType(FloatType()))]), compute)
 
 
 def matrix(column) -> np.ndarray:
@@ -212,11 +212,11 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scored(rows: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``rows`` (with features) with score and predicted."""
-    schema = StructType([x for x in rows.schema.fields if x.name not in ("score", "predicted")] + [StructField("score", DoubleType()), StructField("predicted", IntegerType())])
-    rows = rows.select(*[x for x in rows.columns if x not in ("score", "predicted")])
-    at = rows.columns.index("features")
+def scored(rows: DataFrame, model: Model, threshold: float = 0.3, features: str = "features", score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """``rows`` with ``score`` and ``predicted`` of the statistics in ``features``."""
+    base = rows.select(*[F.col(f"`{x}`") for x in rows.columns if x.lower() not in (score, predicted)])
+    schema = StructType(base.schema.fields + [StructField(score, DoubleType()), StructField(predicted, IntegerType())])
+    at = base.columns.index(features)
 
     def run(batches):
         for batch in batches:
@@ -224,12 +224,13 @@ def scored(rows: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 s = model.score(matrix(batch.column(at)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema)
+    return base.mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text is divisible by FOLDS; such rows' labels are never used."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % FOLDS == 0, F.lit(False)) if isinstance(doc_id, str) else F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
@@ -256,7 +257,8 @@ def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sa
     rows = R.written(rows.select("doc_id", "features"), "features")
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out("doc_id"))
     model = fit(rows.join(known, "doc_id").select("doc_id", "features", "label"), sample)
-    return scored(measured(documents), model, threshold).where("predicted = 1").select(*names)
+    judged = scored(measured(documents, out="_features"), model, threshold, "_features", "_score", "_predicted")
+    return judged.where("_predicted = 1").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

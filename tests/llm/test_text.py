@@ -182,8 +182,9 @@ def test_quality(spark):
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
     held = [r for r in got if r.held_out and r.doc_id < 400]
     assert np.mean([r.predicted == int(r.doc_id % 4 != 0) for r in held]) > 0.95
-    kept = quality.accepted(docs(spark, rows), labels)
-    assert kept.columns == ["doc_id", "text", "source", "size"]
+    kept = quality.accepted(docs(spark, rows).withColumn("features", F.lit("own")), labels)
+    assert kept.columns == ["doc_id", "text", "source", "size", "features"]
+    assert {r.features for r in kept.collect()} == {"own"}
     assert kept.count() == sum(r.predicted for r in got)
     assert quality.classify(docs(spark, []), labels).count() == 0
     assert quality.classify(docs(spark, rows), labels.where("false")).where("score between 0 and 1").count() == len(rows)
