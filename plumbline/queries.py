@@ -192,9 +192,30 @@ def conf_geometry_corr(spark, sf_dir):
     return rounded(purity(spark, sf_dir)["correlations"], "density_r", "centroid_r")
 
 
+def purity_whole(spark, sf_dir):
+    """With the operator's own sample size. The queries above keep that of their SQL."""
+    return analyses.purity(load(spark, sf_dir), pca_dim=DIM)
+
+
+@query()
+def purity_points_whole(spark, sf_dir):
+    return rounded(purity_whole(spark, sf_dir)["points"], *PURE)
+
+
+@query()
+def purity_per_run_whole(spark, sf_dir):
+    out = purity_whole(spark, sf_dir)["per_run"]
+    return rounded(out, *[c for c in out.columns if c != "run_id"])
+
+
+@query()
+def conf_geometry_corr_whole(spark, sf_dir):
+    return rounded(purity_whole(spark, sf_dir)["correlations"], "density_r", "centroid_r")
+
+
 @query()
 def conf_geometry_p_values(spark, sf_dir):
-    r = purity(spark, sf_dir)["correlations"].first()  # one row
+    r = purity_whole(spark, sf_dir)["correlations"].first()  # one row
     return spark.createDataFrame([(r["n"], analyses.pearson_p(r["density_r"], r["n"]), analyses.pearson_p(r["centroid_r"], r["n"]))], "n long, density_p double, centroid_p double")
 
 
@@ -282,6 +303,12 @@ def novelty_inbox(spark, sf_dir):
     return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100), *NOVEL_COLUMNS)
 
 
+@query()
+def novelty_inbox_whole(spark, sf_dir):
+    """With the operator's own reservoir; ``novelty_inbox`` keeps that of its SQL."""
+    return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM), *NOVEL_COLUMNS)
+
+
 # windows and drift
 
 
@@ -520,7 +547,7 @@ def novelty_inbox_pca(spark, sf_dir):
 
 @query()
 def tsne_map(spark, sf_dir):
-    out = analyses.tsne(load(spark, sf_dir), sample_per_run=100, pca_dim=16, rounds=300)
+    out = analyses.tsne(load(spark, sf_dir), pca_dim=16)
     return rounded(out, "x", "y", digits=3)
 
 
@@ -537,10 +564,19 @@ def montage_manifest(spark, sf_dir):
     return out.select("run_id", "group", "image_name", "caption", "row", "column", "x", "y", "sheet_width", "sheet_height")
 
 
-@query("SELECT run_id, image_name, caption, " + PLACE.format(tall=296) + """ FROM (SELECT run_id, image_name, place - 1 AS p, count(*) OVER (PARTITION BY run_id) AS n,
-printf('#%d s=%.2f %s (%.2f-%.2f)', place, score, label, pred1_conf, pred2_conf) AS caption FROM top)""", NOVEL.format(cap=100, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
-def novelty_manifest(spark, sf_dir):
-    top = analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100)
+def novelty_sheet(top: DataFrame) -> DataFrame:
     out = analyses.contact_sheet(top, ["run_id"], [F.round("score", 9).desc(), "feat_idx"], caption=28)
     words = F.format_string("#%d s=%.2f %s (%.2f-%.2f)", F.col("position") + 1, "score", "pred1_label", "pred1_conf", "pred2_conf")
     return out.select("run_id", "image_name", text.shortened(words, 40, 37).alias("caption"), "row", "column", "x", "y", "sheet_width", "sheet_height")
+
+
+@query("SELECT run_id, image_name, caption, " + PLACE.format(tall=296) + """ FROM (SELECT run_id, image_name, place - 1 AS p, count(*) OVER (PARTITION BY run_id) AS n,
+printf('#%d s=%.2f %s (%.2f-%.2f)', place, score, label, pred1_conf, pred2_conf) AS caption FROM top)""", NOVEL.format(cap=100, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
+def novelty_manifest(spark, sf_dir):
+    return novelty_sheet(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100))
+
+
+@query()
+def novelty_manifest_whole(spark, sf_dir):
+    """With the operator's own reservoir; ``novelty_manifest`` keeps that of its SQL."""
+    return novelty_sheet(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM))
