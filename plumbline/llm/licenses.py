@@ -1,8 +1,10 @@
 """License scans: a trained classifier of paragraphs, confirmed by templates. JVM-side throughout.
 
-Paragraphs (lines) that hold an anchor word of some template are candidates; no other paragraph
-can be confirmed. Candidates' word 1- to 3-grams are counted over the training vocabulary, and a
-multinomial logistic regression gives each licence family and ``unknown`` a probability. Training
+Paragraphs (lines) that hold an anchor word or share a word 2-gram with some template are
+candidates; no other paragraph can be confirmed. Candidates that are like enough to a template of
+any family, the rest of which no family could confirm, are classified: their word 1- to 3-grams
+are counted over the training vocabulary, and a multinomial logistic regression gives each licence
+family and ``unknown`` a probability. Training
 texts are the templates under fixed rewordings; unknown ones are sentences that use the same words
 without granting a licence. Probabilities are calibrated by a temperature, chosen on rewordings
 that training did not see. A family stands if it is likely enough and the paragraph shares most
@@ -11,6 +13,8 @@ of its 2-grams with one of the family's templates, or holds most of a template's
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, NGram, StringIndexer, VectorAssembler
@@ -51,7 +55,7 @@ OTHER = (
 )
 #: Rewordings of a statement; odd ones train, even ones calibrate.
 FORMS = ("{}", "{} ", "Note: {}", "{} See the file for details.", "This text: {}", "(c) the authors. {}", "{} Please keep this notice.", "Notice. {}", "{} Copies are welcome.", "As stated before, {}")
-#: Words one of which every template holds. A paragraph without any can't be confirmed.
+#: Words that speak of licences. A paragraph with one is a candidate even if it shares no 2-gram.
 ANCHOR = r"(?i)licen[cs]e|unlicense|copyright|permission|permitted|rights|gpl|cc0|public domain"
 
 
@@ -67,6 +71,12 @@ def pairs(tokens: Column) -> Column:
     return F.array_distinct(F.when(F.size(tokens) > 0, two).otherwise(F.array().cast("array<string>")))
 
 
+def literal_pairs(text: str) -> list[str]:
+    """``pairs`` of a template's words, for an array of literals: Spark folds no lambda over one."""
+    tokens = re.findall(r"[a-z0-9]+(?:[.\-][a-z0-9]+)*", "".join(c.lower() if c.isascii() else c for c in text))
+    return list(dict.fromkeys(" ".join(tokens[i : i + 2]) for i in range(max(len(tokens) - 1, min(len(tokens), 1)))))
+
+
 class Scanner:
     """The trained classifier and its temperature."""
 
@@ -105,34 +115,55 @@ class Scanner:
         return out.select(*rows.columns, F.element_at(F.array(*map(F.lit, self.families)), F.array_position("chances", best).cast("int")).alias("family"), best.alias("chance"))
 
 
+def shares(size: Column, shared: Column, texts) -> Column:
+    """Greatest share of 2-grams that a paragraph and one of ``texts`` have in common: of the
+    paragraph's or of the template's, whichever is more. ``size`` counts the paragraph's 2-grams,
+    ``shared`` has at least those of them that are in ``texts``. Templates are literals."""
+    out = []
+    for t in texts:
+        two = F.array(*map(F.lit, literal_pairs(t)))
+        both = F.size(F.array_intersect(shared, two)).cast("double")
+        out.append(F.greatest(F.try_divide(both, F.size(two)), F.when(size >= 3, F.try_divide(both, size)).otherwise(F.lit(0.0)), F.lit(0.0)))
+    return F.greatest(*out, F.lit(0.0))
+
+
 def alike(family: Column, tokens: Column) -> Column:
-    """Greatest share of 2-grams that a paragraph and one of the family's templates have in common:
-    of the paragraph's or of the template's, whichever is more. Templates are literals."""
+    """``shares`` with the templates of the family; 0 of an unknown one."""
     own = pairs(tokens)
     out = F.lit(0.0)
     for name, texts in TEMPLATES.items():
-        shares = []
-        for t in texts:
-            two = pairs(words(F.lit(t)))
-            both = F.size(F.array_intersect(own, two)).cast("double")
-            shares.append(F.greatest(F.try_divide(both, F.size(two)), F.when(F.size(own) >= 3, F.try_divide(both, F.size(own))).otherwise(F.lit(0.0)), F.lit(0.0)))
-        out = F.when(family == name, F.greatest(*shares, F.lit(0.0))).otherwise(out)
+        out = F.when(family == name, shares(F.size(own), own, texts)).otherwise(out)
     return out
 
 
+def candidates(lines: Column, similar: float) -> Column:
+    """(line, paragraph, near) of lines that hold an anchor or share a 2-gram with a template.
+    ``near`` are those that are like enough to one of all templates, as a statement must be."""
+    every = [t for texts in TEMPLATES.values() for t in texts]
+    known = F.array(*map(F.lit, sorted({x for t in every for x in literal_pairs(t)})))
+    # a transform for each value that is used twice, so that none is worked out again
+    out = F.transform(lines, lambda x, n: F.struct(n.alias("line"), x.alias("paragraph"), words(x).alias("words")))
+    out = F.transform(out, lambda p: F.struct(p["line"].alias("line"), p["paragraph"].alias("paragraph"), pairs(p["words"]).alias("own")))
+    out = F.transform(out, lambda p: F.struct(p["line"].alias("line"), p["paragraph"].alias("paragraph"), F.size(p["own"]).alias("size"), F.array_intersect(p["own"], known).alias("shared")))
+    out = F.filter(out, lambda p: (F.size(p["shared"]) > 0) | F.regexp_like(p["paragraph"], F.lit(ANCHOR)))
+    near = lambda p: F.when(F.size(p["shared"]) > 0, shares(p["size"], p["shared"], every) >= similar).otherwise(similar <= 0)
+    return F.transform(out, lambda p: F.struct(p["line"].alias("line"), p["paragraph"].alias("paragraph"), near(p).alias("near")))
+
+
 def scan(documents: DataFrame, likely: float = LIKELY, similar: float = ALIKE) -> DataFrame:
     """A row per row of ``documents``: doc_id, n_paragraphs, licenses, n_unknown, statements.
 
     Paragraphs are lines that aren't blank. ``statements`` lists the confirmed ones in order
     (line from 0, family, chance, similarity), ``licenses`` their families, sorted; ``n_unknown``
-    counts candidates that no template confirms. A null or empty text has no paragraphs; rows
+    counts candidates that no template confirms, classified or not. A null or empty text has no paragraphs; rows
     without doc_id and repeated rows are each scanned. Equal paragraphs are classified once.
     """
     spark = documents.sparkSession
     lines = F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
     blank = lambda x: F.trim(x, F.lit(" \t\r\x0b\x0c")) == ""
-    hits = F.filter(F.transform(lines, lambda x, n: F.struct(n.alias("line"), x.alias("paragraph"))), lambda p: F.regexp_like(p["paragraph"], F.lit(ANCHOR)))
-    rows = documents.select("doc_id", F.size(F.filter(lines, lambda x: ~blank(x))).cast("long").alias("n_paragraphs"), hits.alias("hits"))
+    rows = documents.select("doc_id", F.size(F.filter(lines, lambda x: ~blank(x))).cast("long").alias("n_paragraphs"), candidates(lines, similar).alias("found"))
+    hits = F.transform(F.filter("found", lambda p: p["near"]), lambda p: F.struct(p["line"].alias("line"), p["paragraph"].alias("paragraph")))
+    rows = rows.select("doc_id", "n_paragraphs", F.size("found").cast("long").alias("n_candidates"), hits.alias("hits"))
     rows = R.written(rows.withColumn("row", F.monotonically_increasing_id()), "paragraphs")
     listed = rows.select("row", F.explode("hits").alias("hit")).select("row", "hit.line", F.col("hit.paragraph").alias("text"))
     distinct = listed.select("text").distinct().withColumn("words", words(F.col("text")))
@@ -142,12 +173,11 @@ def scan(documents: DataFrame, likely: float = LIKELY, similar: float = ALIKE) -
     judged = R.written(judged.select("text", F.when(stands, F.col("family")).alias("family"), "chance", "similarity"), "judged")
     found = listed.join(judged, "text").groupBy("row").agg(
         F.array_sort(F.collect_list(F.when(F.col("family").isNotNull(), F.struct("line", "family", "chance", "similarity")))).alias("statements"),
-        F.sum(F.col("family").isNull().cast("long")).alias("n_unknown"),
     )
-    out = rows.select("row", "doc_id", "n_paragraphs").join(found, "row", "left")
+    out = rows.select("row", "doc_id", "n_paragraphs", "n_candidates").join(found, "row", "left")
     none = F.array().cast("array<struct<line:int,family:string,chance:double,similarity:double>>")
     out = out.withColumn("statements", F.coalesce("statements", none))
-    return out.select("doc_id", "n_paragraphs", F.array_sort(F.array_distinct(F.transform("statements", lambda s: s["family"]))).alias("licenses"), F.coalesce("n_unknown", F.lit(0)).cast("long").alias("n_unknown"), "statements")
+    return out.select("doc_id", "n_paragraphs", F.array_sort(F.array_distinct(F.transform("statements", lambda s: s["family"]))).alias("licenses"), (F.col("n_candidates") - F.size("statements")).alias("n_unknown"), "statements")
 
 
 def op9_license_scan(spark, sf_dir: str) -> DataFrame:
