@@ -24,8 +24,6 @@ LISTED = (
 #: token set is itself frequent and there are as many combinations as subsets.
 SUPPORT, LEAST, CONFIDENCE = 0.004, 8, 0.9
 VERDICT = "verdict="
-#: A set of more tokens is mined by its first ones in order; matching sees all of them.
-MINED = 16
 
 
 def lower(text: Column) -> Column:
@@ -92,21 +90,32 @@ def mine(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFIDEN
     support = max(support, LEAST / n)
     if support > 1:
         return empty
-    frequent = known.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= support * n).select("token")
     keyed = known.withColumn("row", F.monotonically_increasing_id())
     keyed = R.written(keyed, "labelled")
-    items = keyed.select("row", F.explode("tokens").alias("token")).join(frequent, "token").groupBy("row").agg(F.slice(F.array_sort(F.collect_set("token")), 1, MINED).alias("items"))
+    listed = keyed.select("row", F.explode(F.array_distinct("tokens")).alias("token"))
+    # tokens of the same rows stand for each other: one of them is mined, and rules are spelt out for all
+    alike = listed.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("row")).alias("h"), F.bit_xor(F.xxhash64(F.lit("again"), "row")).alias("g"))
+    alike = alike.where(F.col("n") >= support * n).groupBy("n", "h", "g").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    alike = R.written(alike.select(F.col("members")[0].alias("token"), "members"), "alike")
+    items = listed.join(alike, "token").groupBy("row").agg(F.array_sort(F.collect_list("token")).alias("items"))
     items = keyed.join(items, "row").select(F.concat(F.col("items"), F.array(F.concat(F.lit(VERDICT), F.col("verdict")))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     says = F.col("consequent")[0]
     found = model.associationRules.where(F.startswith(says, F.lit(VERDICT)) & ~F.exists("antecedent", lambda x: F.startswith(x, F.lit(VERDICT))))
     found = R.written(found.select(F.array_sort("antecedent").alias("tokens"), F.substring(says, len(VERDICT) + 1, 99).alias("says"), F.round("confidence", 9).alias("confidence"), F.round("support", 9).alias("support")), "rules")
-    # a rule goes if another one's tokens are some of its own: such a pair shares the shorter one's every token
-    short = found.select(F.explode("tokens").alias("token"), F.col("tokens").alias("fewer"), F.col("says").alias("also"), F.col("confidence").alias("sure"))
-    pairs = found.select(F.explode("tokens").alias("token"), "tokens", "says", "confidence").join(short, "token")
-    pairs = pairs.where((F.size("fewer") < F.size("tokens")) & (F.col("says") == F.col("also")) & (F.col("sure") >= F.col("confidence")))
-    worse = pairs.groupBy("tokens", "says", "fewer").agg(F.count("*").alias("n")).where(F.col("n") == F.size("fewer")).select("tokens", "says").distinct()
-    kept = found.join(worse, ["tokens", "says"], "left_anti")
+    # a rule goes if one that is kept has some of its tokens alone: shorter rules first, and each is looked up by its first token
+    lengths = sorted(r["k"] for r in found.select(F.size("tokens").alias("k")).distinct().collect())
+    kept = found.where("false")
+    for k in lengths:
+        here = found.where(F.size("tokens") == k)
+        short = kept.select(F.col("tokens")[0].alias("token"), F.col("tokens").alias("fewer"), F.col("says").alias("also"), F.col("confidence").alias("sure"))
+        pairs = here.select(F.explode("tokens").alias("token"), "tokens", "says", "confidence").join(short, "token")
+        worse = pairs.where((F.col("says") == F.col("also")) & (F.col("sure") >= F.col("confidence")) & (F.size(F.array_except("fewer", "tokens")) == 0)).select("tokens", "says").distinct()
+        kept = R.written(kept.unionByName(here.join(worse, ["tokens", "says"], "left_anti")), "kept")
+    spelt = kept.select("*", F.explode("tokens").alias("token")).join(alike, "token").groupBy("tokens", "says", "confidence", "support").agg(F.collect_list("members").alias("choices"))
+    none = F.array(F.array().cast("array<string>"))
+    every = F.aggregate("choices", none, lambda sets, m: F.flatten(F.transform(sets, lambda a: F.transform(m, lambda x: F.concat(a, F.array(x))))))
+    kept = spelt.select(F.explode(every).alias("tokens"), "says", "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
     return R.written(kept.select(F.xxhash64("tokens", "says").alias("id"), "tokens", "says", "confidence", "support"), "rules")
 
 

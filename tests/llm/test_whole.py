@@ -1,6 +1,6 @@
 """Cases that shortcuts of the operators once lost."""
 
-from plumbline.llm import licenses
+from plumbline.llm import licenses, urls
 
 
 def test_licenses_without_anchor_words(spark):
@@ -9,3 +9,16 @@ def test_licenses_without_anchor_words(spark):
     got = {r.doc_id: (r.n_paragraphs, r.licenses, r.n_unknown) for r in licenses.scan(rows).collect()}
     assert [got[i] for i in range(5)] == [(1, ["MIT"], 0), (1, ["BSD-3-Clause"], 0), (1, ["Unlicense"], 0), (1, [], 1), (1, [], 0)]
     assert got[9] == (5, ["BSD-3-Clause", "MIT", "Unlicense"], 1)
+
+
+def test_rules_of_sets_with_many_tokens(spark):
+    """Each set has 20 frequent tokens that come before the two that tell."""
+    sets = [([*(f"a{k:02}" for k in range(20)), f"site={i % 4}", f"top={i % 2}"], "block" if i % 4 == 3 else "allow") for i in range(80)]
+    found = urls.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
+    assert {(tuple(r.tokens), r.says, r.confidence, r.support) for r in found} == {(("site=0",), "allow", 1.0, 0.25), (("site=1",), "allow", 1.0, 0.25), (("site=2",), "allow", 1.0, 0.25), (("site=3",), "block", 1.0, 0.25), (("top=0",), "allow", 1.0, 0.5)}
+
+
+def test_rules_of_equal_tokens_are_all_listed(spark):
+    sets = [(["x", "y", "c"], "block")] * 20 + [(["c"], "allow")] * 20 + [(["d"], "allow")] * 20
+    found = urls.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
+    assert {(tuple(r.tokens), r.says) for r in found} == {(("x",), "block"), (("y",), "block"), (("d",), "allow")}
