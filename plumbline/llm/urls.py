@@ -57,12 +57,14 @@ def tokens(scheme: Column, host: Column, path: Column, url: Column) -> Column:
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
     found = F.concat(
-        F.array(F.concat(F.lit("scheme="), scheme), F.concat(F.lit("top="), F.element_at(labels, -1)), F.concat(F.lit("depth="), F.least(F.size(segments), F.lit(9)).cast("string"))),
+        F.array(F.concat(F.lit("scheme="), scheme), F.concat(F.lit("top="), F.element_at(labels, -1)), F.concat(F.lit("depth="), F.size(segments).cast("string"))),
         F.when(n > 1, F.array(F.concat(F.lit("site="), F.element_at(labels, -2), F.lit("."), F.element_at(labels, -1)))).otherwise(F.array().cast("array<string>")),
         F.when(n > 2, F.transform(F.slice(labels, 1, F.greatest(n - 2, F.lit(1))), lambda x: F.concat(F.lit("label="), x))).otherwise(F.array().cast("array<string>")),
         F.transform(F.slice(segments, 1, 1), lambda x: F.concat(F.lit("first="), x)),
         F.transform(F.slice(segments, 2, 1), lambda x: F.concat(F.lit("second^"), F.substring(x, 1, 1))),
+        F.transform(F.slice(segments, 2, F.greatest(F.size(segments), F.lit(1))), lambda x, i: F.concat(F.lit("part"), (i + 2).cast("string"), F.lit("="), x)),
         F.transform(query, lambda x: F.concat(F.lit("key="), F.split(x, "=")[0])),
+        F.transform(F.filter(query, lambda x: F.contains(x, F.lit("="))), lambda x: F.concat(F.lit("query="), x)),
         F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>")),
     )
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(found)))

@@ -1,5 +1,7 @@
 """Cases that shortcuts of the operators once lost."""
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import licenses, urls
 
 
@@ -22,3 +24,13 @@ def test_rules_of_equal_tokens_are_all_listed(spark):
     sets = [(["x", "y", "c"], "block")] * 20 + [(["c"], "allow")] * 20 + [(["d"], "allow")] * 20
     found = urls.mine(spark.createDataFrame(sets, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
     assert {(tuple(r.tokens), r.says) for r in found} == {(("x",), "block"), (("y",), "block"), (("d",), "allow")}
+
+
+def test_url_tokens_of_deep_paths_and_values(spark):
+    url = "http://a.b.org/en/blog/casino/x/1/2/3/4/5/6?id=7&flag"
+    rows = urls.parsed(spark.createDataFrame([(1, url)], "page_id long, url string")).first().tokens
+    assert {"first=en", "part2=blog", "part3=casino", "part10=6", "depth=10", "key=id", "query=id=7", "key=flag"} <= set(rows)
+    pages = [(i, f"http://h{i % 5}.net/en/{'casino' if i % 2 else 'news'}s/{'casino' if i % 2 else 'news'}/{i}") for i in range(80)]
+    labels = urls.parsed(spark.createDataFrame(pages, "page_id long, url string"), []).select("tokens", F.when(F.col("page_id") % 2 == 1, "block").otherwise("allow").alias("verdict"))
+    found = {(tuple(r.tokens), r.says) for r in urls.mine(labels).collect()}
+    assert ((("part3=casino",), "block") in found) and ((("part3=news",), "allow") in found)
