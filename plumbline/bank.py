@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.functions import vec
+from plumbline.functions import text, vec
 
 UNKNOWN = "unknown"
 RUNS = 4
@@ -17,27 +17,31 @@ RUNS = 4
 class Bank:
     """features (run_id, feat_idx, image_name, features array<double>), predictions (run_id,
     image_name, pred{1,2,3}_label, pred{1,2,3}_conf) and metadata (run_id, image_name, depth,
-    profile). ``feat_idx`` is the capture order within a run, dense from 0."""
+    profile). ``feat_idx`` is the capture order within a run, dense from 0. A loaded bank also has
+    the configuration of each run in cfg_* columns of its features, and places (run_id, input_path)."""
 
     features: DataFrame
     predictions: DataFrame
     metadata: DataFrame
+    places: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
         return align(self.features, self.predictions)
 
 
-def require_unique(df: DataFrame, *keys: str) -> DataFrame:
-    """``df``, or an error where a key occurs twice."""
-    twice = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"repeated key {twice[0].asDict()}")
-    return df
+def unique(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` with a row per key; reading a key that occurs twice is an error. The check is a part of
+    the plan, dealt by the keys as a join on them is, so it costs that join no further shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.groupBy(*keys).agg(F.first(F.struct(*rest)).alias("_row"), F.count("*").alias("_n"))
+    named = F.concat(F.lit("repeated key "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    return rows.withColumn("_row", F.when(F.col("_n") > 1, F.raise_error(named)).otherwise(F.col("_row"))).select(*keys, "_row.*")
 
 
 def align(features: DataFrame, predictions: DataFrame) -> DataFrame:
-    """A left lookup of predictions: one row per feature row, ``unknown`` and 0 where missing."""
-    out = features.join(predictions, ["run_id", "image_name"], "left")
+    """A left lookup of predictions: one row per feature row, ``unknown`` and 0 where missing. A
+    prediction key that occurs twice is an error."""
+    out = features.join(unique(predictions, "run_id", "image_name"), ["run_id", "image_name"], "left")
     for k in (1, 2):
         if f"pred{k}_label" in predictions.columns:
             out = out.withColumn(f"pred{k}_label", F.coalesce(f"pred{k}_label", F.lit(UNKNOWN if k == 1 else "")))
@@ -45,6 +49,34 @@ def align(features: DataFrame, predictions: DataFrame) -> DataFrame:
     return out
 
 
+def merged(bank: Bank, base: Column) -> DataFrame:
+    """Features with their predictions, if any, and path: ``base`` joined with the image's name."""
+    out = bank.features.join(unique(bank.predictions, "run_id", "image_name"), ["run_id", "image_name"], "left")
+    return out.withColumn("path", text.resolved(base, F.col("image_name")))
+
+
+def with_metadata(rows: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``rows`` (run_id, image_name, ...) that have metadata, with depth and profile. Names may have
+    folders on either side: what is joined is the file's name, which image_name then is."""
+    known = unique(metadata.select("run_id", text.basename(F.col("image_name")).alias("image_name"), "depth", "profile"), "run_id", "image_name")
+    return rows.withColumn("image_name", text.basename(F.col("image_name"))).join(known, ["run_id", "image_name"])
+
+
+def shape(features: DataFrame) -> DataFrame:
+    """(run_id, num_rows, feat_dim, last_idx) of each run."""
+    return features.groupBy("run_id").agg(F.count("*").alias("num_rows"), F.max(F.size("features")).cast("long").alias("feat_dim"), F.max("feat_idx").alias("last_idx"))
+
+
+def chunks(features: DataFrame, size: int) -> DataFrame:
+    """(run_id, chunk, idx_start, idx_end, n): the chunks of ``size`` rows of each run."""
+    return features.groupBy("run_id", F.floor(F.col("feat_idx") / size).alias("chunk")).agg(F.min("feat_idx").alias("idx_start"), (F.max("feat_idx") + 1).alias("idx_end"), F.count("*").alias("n"))
+
+
+def lookup(features: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of each run at ``places`` (feat_idx, ...), once for each time a place is asked for."""
+    return features.join(places, "feat_idx")
+
+
 def fixture(spark: SparkSession, sf_dir: str) -> Bank:
     """A bank derived from the table ``embeddings``: four runs, some rows without prediction."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", vec.doubles("embedding").alias("features"))

@@ -36,38 +36,39 @@ def nearest_of(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFram
     return pd.concat(parts)
 
 
-def dealt(df: DataFrame, group: list[str], block: int, side: str) -> tuple[DataFrame, DataFrame]:
-    """(key, id, v, own) rows with the block that holds each, and (key, n) numbers of blocks. The
-    columns are new ones, so that a table may be both sides."""
-    new = df.select(*[F.col(g).alias(f"{g}_{side}") for g in group], F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}"))
-    keys = [f"{g}_{side}" for g in group]
-    sizes = new.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(f"n_{side}"))
-    held = F.broadcast(sizes)  # a row per key
-    joined = new.join(held, keys) if keys else new.crossJoin(held)
-    return joined.withColumn(f"own_{side}", F.pmod(F.xxhash64(f"id_{side}"), F.col(f"n_{side}")).cast("int")).drop(f"n_{side}"), sizes
-
-
-def replicated(rows: DataFrame, sizes: DataFrame, group: list[str], side: str) -> DataFrame:
-    """Each row once for every block of the other side, numbered q_<side> and r_<side>."""
-    sizes = F.broadcast(sizes.select(*[F.col(f"{g}_{'r' if side == 'q' else 'q'}").alias(f"{g}_{side}") for g in group], "n"))
-    keys = [f"{g}_{side}" for g in group]
-    joined = rows.join(sizes, keys) if keys else rows.crossJoin(sizes)
-    out = joined.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    first, second = ("own_q", "other") if side == "q" else ("other", "own_r")
-    return out.select(*keys, F.col(first).alias(f"q_{side}"), F.col(second).alias(f"r_{side}"), f"id_{side}", f"v_{side}")
+def sizes_of(df: DataFrame, key: str | None) -> DataFrame:
+    """(key, n): rows of each key, a local table with a row per key."""
+    keys = [F.col(key).alias("key")] if key else [F.lit("").alias("key")]
+    rows = df.groupBy(*keys).agg(F.count("*").alias("n")).collect()  # a row per key, as of a run
+    return df.sparkSession.createDataFrame([tuple(r) for r in rows], "key string, n long")
+
+
+def dealt(df: DataFrame, own: DataFrame, other: DataFrame, key: str | None, block: int, side: str) -> DataFrame:
+    """(key, q, r, id, v) rows: each row once for every block of the other side. Columns are new
+    ones, so that a table may be both sides. ``own`` and ``other`` have a row per key."""
+    name = (F.col(key) if key else F.lit("")).alias(f"key_{side}")
+    rows = df.select(name, F.col("id").alias(f"id_{side}"), F.col("v").alias(f"v_{side}"))
+    blocks = own.toDF("of", "own").join(other.toDF("of_other", "other"), F.col("of").eqNullSafe(F.col("of_other")))
+    blocks = blocks.select("of", F.ceil(F.col("own") / block).alias("own"), F.ceil(F.col("other") / block).alias("other"))
+    held = F.pmod(F.xxhash64(f"id_{side}"), F.col("own")).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.col("other").cast("int") - 1))
+    out = rows.join(F.broadcast(blocks), F.col(f"key_{side}").eqNullSafe(F.col("of"))).select(f"key_{side}", held.alias("held"), met.alias("met"), f"id_{side}", f"v_{side}")
+    first, second = ("held", "met") if side == "q" else ("met", "held")
+    return out.select(f"key_{side}", F.col(first).alias(f"q_{side}"), F.col(second).alias(f"r_{side}"), f"id_{side}", f"v_{side}")
 
 
 def knn(queries: DataFrame, rows: DataFrame, k: int, key: str | None = None, block: int = BLOCK) -> DataFrame:
     """(key, src, dst, dist, rank) of the ``k`` rows nearest to each query by Euclidean distance.
 
     Both sides have id (long), v (array<double>) and, if ``key`` is given, that column, within
-    which neighbours are sought. Ties go to the lower id; a row is its own neighbour at 0.
+    which neighbours are sought. Ties go to the lower id; a row is its own neighbour at 0. Where
+    ``queries`` are ``rows``, they are counted once.
     """
-    group = [key] if key else []
-    q, r = dealt(queries, group, block, "q"), dealt(rows, group, block, "r")
-    both = [r[1].withColumnRenamed("n_r", "n"), q[1].withColumnRenamed("n_q", "n")]
-    q_rows, r_rows = (replicated(x[0], size, group, own) for x, size, own in ((q, both[0], "q"), (r, both[1], "r")))
-    left, right = [*[f"{g}_q" for g in group], "q_q", "r_q"], [*[f"{g}_r" for g in group], "q_r", "r_r"]
+    r = sizes_of(rows, key)
+    q = r if queries is rows else sizes_of(queries, key)
+    left, right = (dealt(df, own, other, key, block, side) for df, own, other, side in ((queries, q, r, "q"), (rows, r, q, "r")))
+    # the bound group columns: a query's block against one of the rows
+    groups = [[f"key_{s}", f"q_{s}", f"r_{s}"] for s in "qr"]
 
     def run(at, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = nearest_of(a, b, k)
@@ -76,8 +77,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, key: str | None = None, blo
         return out
 
     schema = (f"{key} string, " if key else "") + "src long, dst long, dist double"
-    found = q_rows.groupBy(*left).cogroup(r_rows.groupBy(*right)).applyInPandas(run, schema)
-    rank = F.row_number().over(Window.partitionBy(*group, "src").orderBy("dist", "dst"))
+    found = left.groupBy(*groups[0]).cogroup(right.groupBy(*groups[1])).applyInPandas(run, schema)
+    rank = F.row_number().over(Window.partitionBy(*([key] if key else []), "src").orderBy("dist", "dst"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

@@ -22,9 +22,18 @@ def even_positions(n: Column, k: int) -> Column:
 
 def even(df: DataFrame, k: int, key: str = "run_id", order: str = "feat_idx") -> DataFrame:
     """Evenly spaced rows of each key; ``order`` is dense from 0 within a key."""
+    return evens(df, {"_in": k}, key, order).drop("_in")
+
+
+def evens(df: DataFrame, wanted: dict[str, int], key: str = "run_id", order: str = "feat_idx") -> DataFrame:
+    """Rows in any of several evenly spaced samples of each key, with a boolean column for each:
+    name -> size. The table is read once for the keys' sizes, which are one narrow column, and once."""
     n = df.groupBy(key).agg(F.count("*").alias("_n"))
-    wanted = n.select(key, F.explode(F.array_distinct(even_positions(F.col("_n"), k))).alias(order))
-    return df.join(wanted, [key, order], "left_semi")
+    def listed(name: str, k: int) -> Column:
+        return F.transform(even_positions(F.col("_n"), k), lambda x: F.struct(x.alias(order), *[F.lit(name == other).alias(other) for other in wanted]))
+
+    places = n.select(key, F.explode(F.concat(*[listed(name, k) for name, k in wanted.items()])).alias("_place")).select(key, "_place.*")
+    return df.join(places.groupBy(key, order).agg(*[F.max(name).alias(name) for name in wanted]), [key, order])
 
 
 def head(df: DataFrame, cap: int, *keys: str, order: str = "feat_idx") -> DataFrame:

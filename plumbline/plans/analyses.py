@@ -1,5 +1,6 @@
-"""The ten analyses as plans over a Bank. Each returns named DataFrames, none of them computed yet
-but where a basis has to be fitted."""
+"""The ten analyses as plans over a Bank. Each returns named DataFrames. What several of them are
+built on (sampled and projected rows, neighbour edges, window series) is written once to the shared
+folder, and so is what a basis is fitted on; the rest isn't computed yet."""
 
 from __future__ import annotations
 
@@ -8,11 +9,12 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.bank import Bank, align
-from plumbline.functions import vec
+from plumbline.bank import Bank, align, unique, with_metadata
+from plumbline.functions import text, vec
 from plumbline.operators import drift as drift_ops
 from plumbline.operators import graph, knn, medoids, pca, sampling, stability, windows
 from plumbline.operators.tsne import tsne as tsne_map
+from plumbline.scratch import written
 
 
 def projected(rows: DataFrame, sample: DataFrame, pca_dim: int) -> DataFrame:
@@ -20,11 +22,10 @@ def projected(rows: DataFrame, sample: DataFrame, pca_dim: int) -> DataFrame:
     return pca.project(rows, pca.fit(sample, pca_dim))
 
 
-def by_run(rows: DataFrame, bootstrap: int, pca_dim: int, normalise: bool = True) -> DataFrame:
-    """``rows`` in each run's own basis, fitted on evenly spaced rows of the run, then as unit
-    vectors. With no fewer dimensions than ``pca_dim`` a basis is the run's mean: a join."""
-    sample = sampling.even(rows, bootstrap)
-    dims = rows.select(F.size("features").alias("d")).limit(1).collect()
+def by_run(rows: DataFrame, sample: DataFrame, pca_dim: int, normalise: bool = True) -> DataFrame:
+    """``rows`` in each run's own basis, fitted on ``sample``, then as unit vectors. With no fewer
+    dimensions than ``pca_dim`` a basis is the run's mean: a join."""
+    dims = sample.select(F.size("features").alias("d")).limit(1).collect()
     if not dims or dims[0]["d"] <= pca_dim:
         means = sample.groupBy("run_id").agg(vec.mean_vector("features").alias("_mean"))
         out = rows.join(means, "run_id").withColumn("features", vec.minus(F.col("features"), F.col("_mean"))).drop("_mean")
@@ -65,11 +66,11 @@ def dense(rows: DataFrame) -> DataFrame:
 def purity(bank: Bank, sample_per_run: int = 2000, pca_dim: int = 50, ks: tuple[int, ...] = (5, 10), seed: int = 42) -> dict[str, DataFrame]:
     """Neighbour purity (the row itself counts), density and class distance of sampled rows of all
     runs together; their means by run; correlations of confidence with geometry."""
-    rows = align(sampling.uniform(bank.features, sample_per_run, seed), bank.predictions)
+    rows = written(align(sampling.uniform(bank.features, sample_per_run, seed), bank.predictions), "sample")
     dims = rows.select(F.size("features").alias("d")).limit(1).collect()
     if dims and dims[0]["d"] > pca_dim:
         rows = projected(rows, rows, pca_dim)
-    rows = dense(rows)
+    rows = written(dense(rows), "points")
     side = rows.select(F.col("node_idx").alias("id"), F.col("features").alias("v"))
     near = knn.knn(side, side, max(ks))
     labels = rows.select("node_idx", "pred1_label")
@@ -80,6 +81,7 @@ def purity(bank: Bank, sample_per_run: int = 2000, pca_dim: int = 50, ks: tuple[
     centres = rows.groupBy("pred1_label").agg(vec.mean_vector("features").alias("centre"))
     points = rows.join(centres, "pred1_label").join(shares, "node_idx")
     points = points.select("run_id", "image_name", "pred1_label", "pred1_conf", "local_density", F.sqrt(vec.squared_l2(F.col("features"), F.col("centre"))).alias("centroid_dist"), *[f"purity_{k}" for k in ks])
+    points = written(points, "purity")
     columns = [*[f"purity_{k}" for k in ks], "local_density", "centroid_dist"]
     per_run = points.groupBy("run_id").agg(*[f(c).alias(f"{c}_{s}") for c in columns for s, f in (("mean", F.avg), ("std", F.stddev_samp))])
     return {"points": points, "per_run": per_run, "correlations": correlations(points)}
@@ -131,34 +133,40 @@ def tail(a: float, b: float, x: float) -> float:
 
 def class_graph(bank: Bank, k: int = 10, pca_dim: int = 50, max_points_per_run: int = 8000, include_self: bool = False, mutual_only: bool = False) -> dict[str, DataFrame]:
     """Neighbour-label metrics of evenly sampled rows within each run."""
-    rows = by_run(align(bank.features, bank.predictions), min(4000, max_points_per_run), pca_dim)
-    rows = sampling.even(rows, max_points_per_run)
+    picked = written(sampling.evens(bank.features, {"to_fit": min(4000, max_points_per_run), "to_map": max_points_per_run}), "sample")
+    rows = by_run(align(picked.where("to_map"), bank.predictions), picked.where("to_fit"), pca_dim)
     nodes = rows.select("run_id", F.col("feat_idx").alias("id"), "image_name", F.col("pred1_label").alias("label"), "pred1_conf", F.col("features").alias("v"))
-    links = knn.edges(nodes.select("run_id", "id", "v"), k, "run_id", include_self, mutual_only)
-    metrics = graph.node_metrics(nodes.drop("v"), links)
-    return {"edges": links, "nodes": metrics.withColumn("mutual_only", F.lit(mutual_only)), "confusion": graph.confusion(nodes.drop("v"), links), "summary": graph.class_summary(metrics)}
+    return graphs(nodes, k, "run_id", include_self, mutual_only)
 
 
 def class_graph_global(bank: Bank, k: int = 10, pca_dim: int = 50, max_points_total: int = 20000, per_run_cap: int = 4000, include_self: bool = False, mutual_only: bool = False) -> dict[str, DataFrame]:
     """The same across all runs, each giving an equal number of rows."""
     runs = bank.features.select("run_id").distinct().count()
-    rows = align(sampling.even(bank.features, sampling.budget(max_points_total, per_run_cap, runs)), bank.predictions)
+    rows = written(align(sampling.even(bank.features, sampling.budget(max_points_total, per_run_cap, runs)), bank.predictions), "sample")
     rows = dense(projected(rows, rows, pca_dim)).withColumn("features", vec.unit(F.col("features")))
     nodes = rows.select("run_id", F.col("node_idx").alias("id"), "image_name", F.col("pred1_label").alias("label"), "pred1_conf", F.col("features").alias("v"))
-    links = knn.edges(nodes.select("id", "v"), k, None, include_self, mutual_only)
-    metrics = graph.node_metrics(nodes.drop("v"), links, None)
-    return {"edges": links, "nodes": metrics.withColumn("mutual_only", F.lit(mutual_only)), "confusion": graph.confusion(nodes.drop("v"), links, None), "summary": graph.class_summary(metrics, None)}
+    return graphs(nodes, k, None, include_self, mutual_only)
+
+
+def graphs(nodes: DataFrame, k: int, key: str | None, include_self: bool, mutual_only: bool) -> dict[str, DataFrame]:
+    """Edges, node metrics, confusion and class summary of nodes (run_id, id, label, v, ...)."""
+    nodes = written(nodes, "nodes")
+    sides = nodes.select(*([key] if key else []), "id", "v")
+    links = written(knn.edges(sides, k, key, include_self, mutual_only), "edges")
+    named = nodes.drop("v")
+    metrics = graph.node_metrics(named, links, key)
+    return {"edges": links, "nodes": metrics.withColumn("mutual_only", F.lit(mutual_only)), "confusion": graph.confusion(named, links, key), "summary": graph.class_summary(metrics, key)}
 
 
 def novelty(bank: Bank, top_n: int = 200, pca_dim: int = 50, reservoir_cap: int = 20000, knn_k: int = 10, w_centroid: float = 0.4, w_density: float = 0.4, w_margin: float = 0.2, bootstrap: int = 4000) -> DataFrame:
     """The ``top_n`` rows of each run by weighted outlier score: distance to the own class's
     centroid, mean distance to neighbours among the run's first rows, and ambiguity."""
-    rows = by_run(align(bank.features, bank.predictions), bootstrap, pca_dim)
+    rows = written(by_run(align(bank.features, bank.predictions), written(sampling.even(bank.features, bootstrap), "sample"), pca_dim), "rows")
     centres = rows.groupBy("run_id", "pred1_label").agg(vec.mean_vector("features").alias("mean")).select("run_id", "pred1_label", vec.unit(F.col("mean")).alias("centre"))
     scored = rows.join(centres, ["run_id", "pred1_label"]).withColumn("centroid_dist", vec.cosine_distance(F.col("features"), F.col("centre"), True))
     if w_density:
         side = rows.select("run_id", F.col("feat_idx").alias("id"), F.col("features").alias("v"))
-        near = knn.knn(side, side.where(F.col("id") < reservoir_cap), knn_k, "run_id")
+        near = knn.knn(side, side.where(F.col("id") < reservoir_cap), knn_k, "run_id")  # the reservoir is a parameter
         means = near.groupBy("run_id", F.col("src").alias("feat_idx")).agg(F.avg("dist").alias("knn_mean"))
         scored = scored.join(means, ["run_id", "feat_idx"], "left").withColumn("knn_mean", F.coalesce("knn_mean", F.lit(0.0)))
     else:
@@ -178,10 +186,11 @@ def drift(bank: Bank, mode: str = "count", window_size: int = 1000, hop: int = 5
     if mode == "count":
         found = windows.by_count(rows, window_size, hop)
     else:
-        rows = rows.join(bank.metadata, ["run_id", "image_name"])
+        rows = with_metadata(rows, bank.metadata)
         found = windows.by_depth(rows, depth_bin_size) if mode == "depth" else windows.by_profile(rows)
-    features = projected(bank.features, sampling.even(bank.features, bootstrap_per_run), pca_dim)
-    values = drift_ops.series(windows.sampled(found, sample_per_window), features)
+    found = written(found, "windows")
+    features = projected(bank.features, written(sampling.even(bank.features, bootstrap_per_run), "sample"), pca_dim)
+    values = written(drift_ops.series(windows.sampled(found, sample_per_window), features), "series")
     points = drift_ops.change_points(values, "run_id", "step", "mmd2", k_std, h_std, min_gap).withColumn("mode", F.lit(mode))
     return {"windows": found, "series": values, "change_points": points}
 
@@ -192,17 +201,17 @@ def prototypes(bank: Bank, mode: str = "per_class", k: int = 10, pca_dim: int =
     if mode not in ("per_class", "per_run"):
         raise ValueError(f"unknown mode {mode!r}")
     rows = align(bank.features, bank.predictions).withColumn("group", F.col("pred1_label") if mode == "per_class" else F.lit("all"))
-    rows = sampling.head(rows, max_per_class, "run_id", "group")
-    rows = by_run(rows.select("run_id", "feat_idx", "image_name", "group", "features"), 1 << 30, pca_dim, normalise=False)
-    found = medoids.k_medoids(rows.withColumnRenamed("features", "v"), k, metric, max_iter, seed, min_points_for_group)
+    rows = written(sampling.head(rows, max_per_class, "run_id", "group").select("run_id", "feat_idx", "image_name", "group", "features"), "members")
+    rows = by_run(rows, rows, pca_dim, normalise=False)
+    found = written(medoids.k_medoids(rows.withColumnRenamed("features", "v"), k, metric, max_iter, seed, min_points_for_group), "assigned")
     return {"assigned": found, "prototypes": found.where("is_medoid").select("run_id", "group", "medoid_rank", F.col("feat_idx").alias("medoid_global_idx"), F.col("image_name").alias("medoid_name")), "coverage": medoids.coverage(found, k).withColumns({"k": F.lit(k), "metric": F.lit(metric), "pca_dim": F.lit(pca_dim), "mode": F.lit(mode)})}
 
 
 def prototype_vectors(bank: Bank, protos: DataFrame, pca_dim: int = 50) -> DataFrame:
     """(run_id, class, medoid_rank, v): unit vectors of prototypes in the basis of all of them."""
-    rows = protos.join(bank.features.select("run_id", F.col("feat_idx").alias("medoid_global_idx"), "features"), ["run_id", "medoid_global_idx"])
+    rows = written(protos.join(bank.features.select("run_id", F.col("feat_idx").alias("medoid_global_idx"), "features"), ["run_id", "medoid_global_idx"]), "medoids")
     rows = projected(rows.select("run_id", F.col("group").alias("class"), "medoid_rank", "features"), rows, pca_dim)
-    return rows.select("run_id", "class", "medoid_rank", vec.unit(F.col("features")).alias("v"))
+    return written(rows.select("run_id", "class", "medoid_rank", vec.unit(F.col("features")).alias("v")), "vectors")
 
 
 def prototype_stability(bank: Bank, protos: DataFrame, coverage: DataFrame | None = None, pca_dim: int = 50) -> dict[str, DataFrame]:
@@ -219,7 +228,8 @@ def prototype_global_stability(bank: Bank, protos: DataFrame, pca_dim: int = 50,
 
 def tsne(bank: Bank, sample_per_run: int = 2000, pca_dim: int = 50, perplexity: float = 30.0, learning_rate: float = 200.0, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """A two-dimensional map of sampled rows; a missing label stays null."""
-    rows = sampling.uniform(bank.features, sample_per_run, seed).join(bank.predictions.select("run_id", "image_name", "pred1_label"), ["run_id", "image_name"], "left")
+    known = unique(bank.predictions.select("run_id", "image_name", "pred1_label"), "run_id", "image_name")
+    rows = written(sampling.uniform(bank.features, sample_per_run, seed).join(known, ["run_id", "image_name"], "left"), "sample")
     dims = rows.select(F.size("features").alias("d")).limit(1).collect()
     if dims and dims[0]["d"] > pca_dim:
         rows = projected(rows, rows, pca_dim)

@@ -13,6 +13,7 @@ from plumbline import bank as banks
 from plumbline.functions import text, vec
 from plumbline.operators import drift, graph, knn, medoids, sampling, stability, windows
 from plumbline.plans import analyses
+from plumbline.sources import runs
 
 FLAGSHIP = "novelty_centroid_topn"
 QUERIES: dict = {}
@@ -26,7 +27,7 @@ def query(sql: str | None = None, views: str = ""):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            SQL[f.__name__] = ("WITH " + banks.FIXTURE_SQL + views + sql) if views is not None else sql
+            SQL[f.__name__] = ("WITH RECURSIVE " + banks.FIXTURE_SQL + views + sql) if views is not None else sql
         return f
 
     return add
@@ -45,13 +46,12 @@ def load(spark: SparkSession, sf_dir: str) -> banks.Bank:
 
 @query("SELECT run_id, count(*) AS num_rows, max(len(v)) AS feat_dim, max(feat_idx) AS last_idx FROM bank GROUP BY run_id")
 def bank_shape(spark, sf_dir):
-    return load(spark, sf_dir).features.groupBy("run_id").agg(F.count("*").alias("num_rows"), F.max(F.size("features")).cast("long").alias("feat_dim"), F.max("feat_idx").alias("last_idx"))
+    return banks.shape(load(spark, sf_dir).features)
 
 
 @query("SELECT run_id, feat_idx // 64 AS chunk, min(feat_idx) AS idx_start, max(feat_idx) + 1 AS idx_end, count(*) AS n FROM bank GROUP BY 1, 2")
 def feature_chunks(spark, sf_dir):
-    rows = load(spark, sf_dir).features
-    return rows.groupBy("run_id", F.floor(F.col("feat_idx") / 64).alias("chunk")).agg(F.min("feat_idx").alias("idx_start"), (F.max("feat_idx") + 1).alias("idx_end"), F.count("*").alias("n"))
+    return banks.chunks(load(spark, sf_dir).features, 64)
 
 
 @query("SELECT run_id, feat_idx, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM bank")
@@ -85,13 +85,13 @@ def class_head_cap(spark, sf_dir):
 
 @query("SELECT run_id, feat_idx FROM bank WHERE feat_idx < 30")
 def run_head_cap(spark, sf_dir):
-    return load(spark, sf_dir).features.where("feat_idx < 30").select("run_id", "feat_idx")
+    return sampling.head(load(spark, sf_dir).features, 30, "run_id").select("run_id", "feat_idx")
 
 
 @query("SELECT run_id, feat_idx, image_name, pred1_label, round(pred1_conf, 6) AS pred1_conf, pred2_label, round(pred2_conf, 6) AS pred2_conf FROM lab")
 def align_predictions(spark, sf_dir):
     b = load(spark, sf_dir)
-    out = banks.align(b.features, banks.require_unique(b.predictions, "run_id", "image_name"))
+    out = banks.align(b.features, b.predictions)
     return rounded(out.select("run_id", "feat_idx", "image_name", "pred1_label", "pred1_conf", "pred2_label", "pred2_conf"), "pred1_conf", "pred2_conf")
 
 
@@ -99,15 +99,16 @@ def align_predictions(spark, sf_dir):
 FROM bank b LEFT JOIN pred p ON b.run_id = p.run_id AND b.image_name = p.image_name""")
 def merged_run(spark, sf_dir):
     b = load(spark, sf_dir)
-    out = b.features.join(b.predictions, ["run_id", "image_name"], "left")
-    path = text.resolved(F.concat(F.lit("base/"), F.col("run_id")), F.concat(F.lit("output\\"), F.col("image_name")))
-    return out.select("run_id", "feat_idx", "image_name", "pred1_label", path.alias("path"), F.lit("contrastive").alias("cfg_loss"))
+    configured = b.features.withColumns({"cfg_loss": F.lit("contrastive"), "image_name": F.concat(F.lit("output\\"), F.col("image_name"))})
+    labels = b.predictions.withColumn("image_name", F.concat(F.lit("output\\"), F.col("image_name")))
+    out = banks.merged(banks.Bank(configured, labels, b.metadata), F.concat(F.lit("base/"), F.col("run_id")))
+    return out.select("run_id", "feat_idx", text.basename(F.col("image_name")).alias("image_name"), "pred1_label", "path", "cfg_loss")
 
 
 @query("""SELECT run_id, o AS ord, feat_idx, image_name FROM bank JOIN (VALUES (0, 7), (1, 3), (2, 7), (3, 0)) t(o, i) ON feat_idx = i""")
 def positional_lookup(spark, sf_dir):
     wanted = spark.createDataFrame([(0, 7), (1, 3), (2, 7), (3, 0)], "ord int, feat_idx long")
-    return load(spark, sf_dir).features.join(wanted, "feat_idx").select("run_id", "ord", "feat_idx", "image_name")
+    return banks.lookup(load(spark, sf_dir).features, wanted).select("run_id", "ord", "feat_idx", "image_name")
 
 
 @query("""SELECT run_id, image_name, depth, profile FROM (SELECT *, row_number() OVER (PARTITION BY run_id, image_name ORDER BY part DESC) AS r FROM (
@@ -115,16 +116,14 @@ SELECT run_id, image_name, depth, profile, 0 AS part FROM meta UNION ALL SELECT
 def metadata_dedupe_last(spark, sf_dir):
     m = load(spark, sf_dir).metadata
     both = m.withColumn("part", F.lit(0)).unionByName(m.where("depth > 50").select("run_id", "image_name", (F.col("depth") + 1).alias("depth"), F.lit("again").alias("profile"), F.lit(1).alias("part")))
-    rank = F.row_number().over(Window.partitionBy("run_id", "image_name").orderBy(F.desc("part")))
-    return both.withColumn("r", rank).where("r = 1").select("run_id", "image_name", "depth", "profile")
+    return runs.last_rows(both, "part").select("run_id", "image_name", "depth", "profile")
 
 
 @query("SELECT b.run_id, b.feat_idx, m.depth, m.profile FROM bank b JOIN meta m ON b.run_id = m.run_id AND b.image_name = m.image_name WHERE m.depth IS NOT NULL")
 def metadata_join(spark, sf_dir):
     b = load(spark, sf_dir)
-    names = b.metadata.withColumn("key", text.basename(F.concat(F.lit("a\\b/"), F.col("image_name"))))
-    out = b.features.withColumn("key", text.basename(F.col("image_name"))).select("run_id", "feat_idx", "key").join(names.select("run_id", "key", "depth", "profile"), ["run_id", "key"])
-    return out.where("depth is not null").select("run_id", "feat_idx", "depth", "profile")
+    foldered = b.metadata.withColumn("image_name", F.concat(F.lit("a\\b/"), F.col("image_name")))
+    return banks.with_metadata(b.features, foldered).where("depth is not null").select("run_id", "feat_idx", "depth", "profile")
 
 
 @query(r"""SELECT page_id, regexp_extract(replace(url, '\', '/'), '[^/]*$') AS name, TRY_CAST(regexp_extract(replace(url, '\', '/'), '[^/]*$') AS DOUBLE) AS number FROM pages""", None)
@@ -162,7 +161,7 @@ def mutual_edges(spark, sf_dir):
     return knn.edges(run_sides(load(spark, sf_dir)), 10, "run_id", mutual=True).select("run_id", "src", "dst")
 
 
-PURITY = f""", smp AS (SELECT *, row_number() OVER (ORDER BY run_id, feat_idx) AS id FROM ({UNIFORM}) WHERE r <= 60),
+PURITY = f""", smp AS (SELECT *, row_number() OVER (ORDER BY run_id, feat_idx) AS id FROM ({UNIFORM}) WHERE r <= 2000),
 pr AS (SELECT a.id AS src, b.id AS dst, list_distance(a.v, b.v) AS dist, a.pred1_label = b.pred1_label AS same FROM smp a, smp b),
 rk AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS rank FROM pr QUALIFY rank <= 10),
 sh AS (SELECT src, avg(same::INT) FILTER (WHERE rank <= 5) AS purity_5, avg(same::INT) AS purity_10, -avg(dist) FILTER (WHERE rank > 1) AS local_density FROM rk GROUP BY src),
@@ -173,7 +172,7 @@ PURE = ("pred1_conf", "local_density", "centroid_dist", "purity_5", "purity_10")
 
 
 def purity(spark, sf_dir):
-    return analyses.purity(load(spark, sf_dir), sample_per_run=60, pca_dim=DIM)
+    return analyses.purity(load(spark, sf_dir), pca_dim=DIM)
 
 
 @query("SELECT run_id, image_name, pred1_label, " + ", ".join(f"round({c}, 6) AS {c}" for c in PURE) + " FROM pt", PURITY)
@@ -192,30 +191,9 @@ def conf_geometry_corr(spark, sf_dir):
     return rounded(purity(spark, sf_dir)["correlations"], "density_r", "centroid_r")
 
 
-def purity_whole(spark, sf_dir):
-    """With the operator's own sample size. The queries above keep that of their SQL."""
-    return analyses.purity(load(spark, sf_dir), pca_dim=DIM)
-
-
-@query()
-def purity_points_whole(spark, sf_dir):
-    return rounded(purity_whole(spark, sf_dir)["points"], *PURE)
-
-
-@query()
-def purity_per_run_whole(spark, sf_dir):
-    out = purity_whole(spark, sf_dir)["per_run"]
-    return rounded(out, *[c for c in out.columns if c != "run_id"])
-
-
-@query()
-def conf_geometry_corr_whole(spark, sf_dir):
-    return rounded(purity_whole(spark, sf_dir)["correlations"], "density_r", "centroid_r")
-
-
 @query()
 def conf_geometry_p_values(spark, sf_dir):
-    r = purity_whole(spark, sf_dir)["correlations"].first()  # one row
+    r = purity(spark, sf_dir)["correlations"].first()  # one row
     return spark.createDataFrame([(r["n"], analyses.pearson_p(r["density_r"], r["n"]), analyses.pearson_p(r["centroid_r"], r["n"]))], "n long, density_p double, centroid_p double")
 
 
@@ -293,19 +271,13 @@ NOVEL_COLUMNS = ("pred1_conf", "pred2_conf", "centroid_dist", "knn_mean", "margi
 NOVEL_SELECT = "SELECT run_id, id AS feat_idx, image_name, label AS pred1_label, pred2_label, " + ", ".join(f"round({c}, 6) AS {c}" for c in NOVEL_COLUMNS) + " FROM top"
 
 
-@query(NOVEL_SELECT, NOVEL.format(cap=100, knn="0.0", w1=0.7, w2=0.0, w3=0.3))
+@query(NOVEL_SELECT, NOVEL.format(cap=20000, knn="0.0", w1=0.7, w2=0.0, w3=0.3))
 def novelty_centroid_topn(spark, sf_dir):
-    return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100, w_centroid=0.7, w_density=0.0, w_margin=0.3), *NOVEL_COLUMNS)
+    return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, w_centroid=0.7, w_density=0.0, w_margin=0.3), *NOVEL_COLUMNS)
 
 
-@query(NOVEL_SELECT, NOVEL.format(cap=100, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
+@query(NOVEL_SELECT, NOVEL.format(cap=20000, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
 def novelty_inbox(spark, sf_dir):
-    return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100), *NOVEL_COLUMNS)
-
-
-@query()
-def novelty_inbox_whole(spark, sf_dir):
-    """With the operator's own reservoir; ``novelty_inbox`` keeps that of its SQL."""
     return rounded(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM), *NOVEL_COLUMNS)
 
 
@@ -355,9 +327,35 @@ for _mode in WINDOWS:
     window_queries(_mode)
 
 
-@query()
+#: Ten evenly spaced rows of a window of 25.
+TEN = "SELECT * FROM cw WHERE pos IN (SELECT CAST(CASE WHEN i = 9 THEN 24 ELSE floor(i * (CAST(24 AS DOUBLE) / CAST(9 AS DOUBLE))) END AS BIGINT) FROM range(0, 10) t(i))"
+
+
+@query(MMD_SELECT, WIN + MMD.format(w=f"({TEN})"))
+def drift_mmd_sampled(spark, sf_dir):
+    return rounded(analyses.drift(load(spark, sf_dir), "count", SIZE, HOP, pca_dim=DIM, sample_per_window=10)["series"], "mmd2")
+
+
+#: Change points of the series of squared MMD: sums as in CUSUM below, hits of a type 3 steps apart.
+CHANGES = f""", se AS ({MMD_SELECT.replace("round(greatest(0, ", "(greatest(0, ").replace(", 6) AS mmd2", ") AS mmd2")}),
+st AS (SELECT run_id, avg(mmd2) AS mu, CASE WHEN stddev_pop(mmd2) > 0 THEN stddev_pop(mmd2) ELSE 1 END AS sd FROM se GROUP BY run_id HAVING count(*) >= 5),
+sr AS (SELECT e.run_id, row_number() OVER (PARTITION BY e.run_id ORDER BY step) - 1 AS i, mmd2 AS y, mmd2 - mu AS x, 0.25 * sd AS k, 0.75 * sd AS h FROM se e JOIN st ON e.run_id = st.run_id),
+cs AS (
+  SELECT run_id, i, y, 0.0::DOUBLE AS up, 0.0::DOUBLE AS dn, false AS rise, false AS fall FROM sr WHERE i = 0
+  UNION ALL
+  SELECT run_id, i, y, CASE WHEN u > h THEN 0 ELSE u END, CASE WHEN d > h THEN 0 ELSE d END, u > h, d > h
+  FROM (SELECT s.run_id, s.i, s.y, s.h, greatest(0, c.up + s.x - s.k) AS u, greatest(0, c.dn - s.x - s.k) AS d FROM cs c JOIN sr s ON s.run_id = c.run_id AND s.i = c.i + 1)),
+nb AS (SELECT *, row_number() OVER (PARTITION BY run_id, type ORDER BY i) AS r FROM (SELECT run_id, i, 'up' AS type, y FROM cs WHERE rise UNION ALL SELECT run_id, i, 'down', y FROM cs WHERE fall)),
+kp AS (
+  SELECT run_id, type, r, i, y, i AS last, true AS kept FROM nb WHERE r = 1
+  UNION ALL
+  SELECT n.run_id, n.type, n.r, n.i, n.y, CASE WHEN n.i - k.last >= 3 THEN n.i ELSE k.last END, n.i - k.last >= 3 FROM kp k JOIN nb n ON n.run_id = k.run_id AND n.type = k.type AND n.r = k.r + 1)
+"""
+
+
+@query("SELECT run_id, CAST(i AS INT) AS \"index\", type, round(y, 6) AS value, 'count' AS mode FROM kp WHERE kept", WIN + MMD.format(w="cw") + CHANGES)
 def drift_change_points(spark, sf_dir):
-    return rounded(analyses.drift(load(spark, sf_dir), "count", SIZE, HOP, pca_dim=DIM, h_std=1.0)["change_points"], "value")
+    return rounded(analyses.drift(load(spark, sf_dir), "count", SIZE, HOP, pca_dim=DIM, k_std=0.25, h_std=0.75)["change_points"], "value")
 
 
 CUSUM = r"""
@@ -518,9 +516,9 @@ def proto_global_summary(spark, sf_dir):
 # geometry, maps, manifests
 
 
-@query(f"SELECT run_id, count(*) AS sampled, round(avg(sqrt(list_inner_product(v, v))), 6) AS mean_norm, round(stddev_pop(sqrt(list_inner_product(v, v))), 6) AS std_norm FROM ({UNIFORM}) WHERE r <= 100 GROUP BY run_id")
+@query(f"SELECT run_id, count(*) AS sampled, round(avg(sqrt(list_inner_product(v, v))), 6) AS mean_norm, round(stddev_pop(sqrt(list_inner_product(v, v))), 6) AS std_norm FROM ({UNIFORM}) WHERE r <= 2000 GROUP BY run_id")
 def geometry_norms(spark, sf_dir):
-    return analyses.geometry(load(spark, sf_dir), 100).select("run_id", "sampled", "mean_norm", "std_norm")
+    return analyses.geometry(load(spark, sf_dir)).select("run_id", "sampled", "mean_norm", "std_norm")
 
 
 @query()
@@ -571,12 +569,6 @@ def novelty_sheet(top: DataFrame) -> DataFrame:
 
 
 @query("SELECT run_id, image_name, caption, " + PLACE.format(tall=296) + """ FROM (SELECT run_id, image_name, place - 1 AS p, count(*) OVER (PARTITION BY run_id) AS n,
-printf('#%d s=%.2f %s (%.2f-%.2f)', place, score, label, pred1_conf, pred2_conf) AS caption FROM top)""", NOVEL.format(cap=100, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
+printf('#%d s=%.2f %s (%.2f-%.2f)', place, score, label, pred1_conf, pred2_conf) AS caption FROM top)""", NOVEL.format(cap=20000, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
 def novelty_manifest(spark, sf_dir):
-    return novelty_sheet(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM, reservoir_cap=100))
-
-
-@query()
-def novelty_manifest_whole(spark, sf_dir):
-    """With the operator's own reservoir; ``novelty_manifest`` keeps that of its SQL."""
     return novelty_sheet(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM))

@@ -1,22 +1,33 @@
-"""Run discovery, configurations, and tables of a run: features, predictions, metadata."""
+"""Run discovery, configurations, and tables of a run: features, predictions, metadata.
+
+Files of all runs are read together, as many paths of one read: a plan doesn't grow with the number
+of runs, and a row's run comes from the path of its file.
+"""
 
 from __future__ import annotations
 
 import re
-from pathlib import PurePosixPath
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.bank import Bank
 from plumbline.functions import text
+from plumbline.sources.artifacts import existing
 
 #: What makes a folder a run: column of the index and name of the file.
 KINDS = (("features", r"^features_.*\.(h5|parquet)$"), ("preds", r"^predictions_with_top3_scores\.csv$"), ("model_cfg", r"^model_config\.yaml$"), ("run_cfg", r"^config\.yaml$"))
-#: Headers of a predictions file by column.
-HEADERS = {"image_name": "Image Name"} | {f"pred{k}_{c}": f"Top-{k} {h}" for k in (1, 2, 3) for c, h in (("label", "Predicted Label"), ("conf", "Confidence Score"))}
-#: Columns that name the image, by preference.
+#: Headers of a predictions file by column.
+HEADERS = {
+    "image_name": "Image Name",
+    "pred1_label": "Top-1 Predicted Label", "pred1_conf": "Top-1 Confidence Score",
+    "pred2_label": "Top-2 Predicted Label", "pred2_conf": "Top-2 Confidence Score",
+    "pred3_label": "Top-3 Predicted Label", "pred3_conf": "Top-3 Confidence Score",
+}
+#: Columns that name the image, by preference.
 NAMES = ("img_file_name", "image_name", "file_name", "filename", "object_id", "img_name", "name")
+#: Fields of a model configuration.
 FIELDS = ("architecture_type", "gray", "use_norm", "loss", "dataset", "temp", "batch_size", "num_epoch")
 
 
@@ -55,7 +66,7 @@ def relaxed_yaml(content: str) -> dict:
             return found if isinstance(found, dict) else {}
         except yaml.YAMLError:
             continue
-    return {}
+    raise ValueError(f"not a YAML mapping: {content[:80]!r}")
 
 
 def wanted(config: dict, *names: str):
@@ -64,22 +75,61 @@ def wanted(config: dict, *names: str):
     return next((low[n] for n in names if low.get(n) not in (None, "")), None)
 
 
+def named(path: str | Column) -> Column:
+    """A path without its scheme, by which the paths of two readers are compared."""
+    column = F.col(path) if isinstance(path, str) else path
+    return F.regexp_replace(F.regexp_replace(column, "%20", " "), "^file:/*", "/")
+
+
+def name_of(path: str) -> str:
+    """``named`` of a path that the driver holds."""
+    return re.sub("^file:/*", "/", path.replace("%20", " "))
+
+
 def configs(spark: SparkSession, index: DataFrame) -> DataFrame:
-    """(run_id, input_path, cfg_*) of each run, read as whole files; one row per run."""
+    """(run_id, input_path, cfg_*) of each run; one row per run. A broken file is an error."""
+    runs = index.select("run_id", "model_cfg", "run_cfg").collect()  # a row per run
+    files = [r[c] for r in runs for c in ("run_cfg", "model_cfg")]
+    texts = {r[0]: r[1] for r in spark.read.text(files, wholetext=True).select(named("_metadata.file_path"), "value").collect()}  # two short files per run
     rows = []
-    for r in index.collect():  # a row per run
-        text_of = lambda path: spark.read.text(path, wholetext=True).first()
-        run, model = (relaxed_yaml((text_of(r[c]) or [""])[0]) for c in ("run_cfg", "model_cfg"))
+    for r in runs:
+        run, model = (relaxed_yaml(texts.get(name_of(r[c]), "")) for c in ("run_cfg", "model_cfg"))
         section = wanted(model, "training_contrastive") or {}
         rows.append((r["run_id"], wanted(run, "input_path", "input-dir", "data_path"), *[None if (v := wanted(section, f)) is None else str(v) for f in FIELDS]))
     return spark.createDataFrame(rows, "run_id string, input_path string, " + ", ".join(f"cfg_{f} string" for f in FIELDS))
 
 
-def predictions(spark: SparkSession, path: str, run_id: str, columns: tuple[str, ...] = tuple(HEADERS)) -> DataFrame:
-    """A predictions CSV with the asked-for ``columns``; names and labels are strings."""
-    rows = spark.read.option("header", True).csv(path)
-    numbers = [c for c in columns if c.endswith("_conf")]
-    return rows.select(F.lit(run_id).alias("run_id"), *[(F.col(f"`{HEADERS[c]}`").try_cast("double") if c in numbers else F.col(f"`{HEADERS[c]}`").cast("string")).alias(c) for c in columns])
+def by_header(spark: SparkSession, paths: list[str], sep: str) -> list[tuple[list[str], DataFrame]]:
+    """(columns, rows) of files with a header: those of one header are one read. Rows also have
+    _file, its path, and _at, which rises with the place in it. Empty files are left out."""
+    rows = spark.read.text(paths).select(named("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    first = rows.where("block = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).collect()  # a path per file
+    out, given = [], {name_of(p): p for p in paths}
+    for g in sorted(groups, key=lambda g: min(g["files"])):
+        df = spark.read.option("header", True).option("sep", sep).csv([given[f] for f in sorted(g["files"])])
+        place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+        out.append((df.columns, df.select("*", named("_metadata.file_path").alias("_file"), place.alias("_at"))))
+    return out
+
+
+def with_run(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """``rows`` (_file, ...) with the run_id of ``files`` (run_id, _file), a row per file."""
+    return rows.join(F.broadcast(files), "_file")
+
+
+def predictions(spark: SparkSession, files: DataFrame, columns: tuple[str, ...] = tuple(HEADERS)) -> DataFrame:
+    """The asked-for ``columns`` of the predictions CSVs ``files`` (run_id, path); names and labels
+    are strings, and a confidence that isn't a number is null."""
+    paths = [r["path"] for r in files.collect()]  # a row per run
+    files = files.select("run_id", named("path").alias("_file"))
+    parts = []
+    for there, rows in by_header(spark, paths, ","):
+        if missing := [HEADERS[c] for c in columns if HEADERS[c] not in there]:
+            raise ValueError(f"no column {missing[0]!r} in a predictions file")
+        kind = lambda c: F.col(f"`{HEADERS[c]}`").try_cast("double" if c.endswith("_conf") else "string").alias(c)
+        parts.append(with_run(rows, files).select("run_id", *[kind(c) for c in columns]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def name_column(columns: list[str]) -> str | None:
@@ -88,29 +138,39 @@ def name_column(columns: list[str]) -> str | None:
     return next((low[n] for n in NAMES if n in low), None) or next((c for c in columns if "name" in c.lower() or "file" in c.lower()), None)
 
 
-def metadata(spark: SparkSession, folder: str, depth: str = "object_depth_min", profile: str = "acq_id", aliases: tuple[str, ...] = ("object_depth", "object_depth_max")) -> DataFrame:
-    """(image_name, depth, profile) of all TSV files of a folder; the last row of an image stays.
+def metadata(spark: SparkSession, folders: DataFrame, depth: str = "object_depth_min", profile: str = "acq_id", aliases: tuple[str, ...] = ("object_depth", "object_depth_max")) -> DataFrame:
+    """(run_id, image_name, depth, profile) of all TSV files of the ``folders`` (run_id, path); the
+    last row of an image stays.
 
-    Files are in order of name, rows in order of place. A file without a name column is left out;
-    a missing depth or profile column is null, and so is a depth that isn't a number.
+    Files are in order of name, rows in order of place. A folder that doesn't exist has none, and a
+    file that has no name column, or can't be read as one, is left out; a missing depth or profile
+    column is null, and so is a depth that isn't a number.
     """
-    paths = [r["path"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").load(folder).select("path").collect()]  # a row per file
+    schema = "run_id string, image_name string, depth double, profile string"
+    there = [(r["run_id"], r["path"]) for r in folders.collect() if existing(spark, r["path"])]  # a row per run
+    if not there:
+        return spark.createDataFrame([], schema)
+    places = spark.createDataFrame(there, "run_id string, folder string")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.tsv").load(sorted({p for _, p in there})).select("path", named("path").alias("_file"))
+    folder = lambda c: F.regexp_replace(named(c), "/+$", "")
+    files = found.join(F.broadcast(places), F.regexp_replace("_file", "/[^/]*$", "") == folder("folder")).select("run_id", "_file", "path").collect()  # a row per file
+    paths = sorted({r["path"] for r in files})
+    files = spark.createDataFrame([(r["run_id"], r["_file"]) for r in files], "run_id string, _file string")
     parts = []
-    for path in sorted(paths, key=lambda p: PurePosixPath(p).name):
-        rows = spark.read.option("header", True).option("sep", "\t").csv(path).coalesce(1)
-        name = name_column(rows.columns)
+    for columns, rows in by_header(spark, paths, "\t") if paths else []:
+        name = name_column(columns)
         if not name:
             continue
-        deep = next((c for c in (depth, *aliases) if c in rows.columns), None)
+        deep = next((c for c in (depth, *aliases) if c in columns), None)
         pick = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
-        parts.append(rows.select(text.basename(pick(name)).alias("image_name"), text.number(pick(deep)).alias("depth"), pick(profile if profile in rows.columns else None).alias("profile"), F.lit(len(parts)).alias("_file"), F.monotonically_increasing_id().alias("_row")))
-    if not parts:
-        return spark.createDataFrame([], "image_name string, depth double, profile string")
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    last = F.row_number().over(Window.partitionBy("image_name").orderBy(F.desc("_file"), F.desc("_row")))
-    return both.withColumn("_rank", last).where("_rank = 1").select("image_name", "depth", "profile")
+        parts.append(with_run(rows, files).select("run_id", text.basename(pick(name)).alias("image_name"), text.number(pick(deep)).alias("depth"), pick(profile if profile in columns else None).alias("profile"), text.basename(F.col("_file")).alias("_name"), "_at"))
+    return last_rows(reduce(DataFrame.unionByName, parts), "_name", "_at").select("run_id", "image_name", "depth", "profile") if parts else spark.createDataFrame([], schema)
+
+
+def last_rows(rows: DataFrame, *order: str) -> DataFrame:
+    """The last row of each image of a run in the order of columns."""
+    rank = F.row_number().over(Window.partitionBy("run_id", "image_name").orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
 
 
 def hdf5(spark: SparkSession, path: str, run_id: str, chunk: int = 4096) -> DataFrame:
@@ -136,23 +196,26 @@ def hdf5(spark: SparkSession, path: str, run_id: str, chunk: int = 4096) -> Data
     return ranges.mapInArrow(read, "run_id string, feat_idx long, image_name string, features array<double>")
 
 
-def features(spark: SparkSession, path: str, run_id: str) -> DataFrame:
-    """A run's vectors: Parquet (feat_idx, image_name, features) or HDF5."""
-    if path.endswith(".h5"):
-        return hdf5(spark, re.sub("^file:/*", "/", path), run_id)
-    return spark.read.parquet(path).select(F.lit(run_id).alias("run_id"), F.col("feat_idx").cast("long").alias("feat_idx"), F.col("image_name").cast("string").alias("image_name"), F.col("features").cast("array<double>").alias("features"))
+def features(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The vectors of ``files`` (run_id, path): Parquet (feat_idx, image_name, features), all in one
+    read, or HDF5, one read each."""
+    given = [(r["run_id"], r["path"]) for r in files.collect()]  # a row per run
+    parts = [hdf5(spark, re.sub("^file:/*", "/", path), run) for run, path in given if path.endswith(".h5")]
+    if flat := [path for _, path in given if not path.endswith(".h5")]:
+        rows = spark.read.parquet(*flat).select(named("_metadata.file_path").alias("_file"), F.col("feat_idx").cast("long").alias("feat_idx"), F.col("image_name").cast("string").alias("image_name"), F.col("features").cast("array<double>").alias("features"))
+        # a run's Parquet file may be a folder of parts
+        known = files.select("run_id", named("path").alias("_of"))
+        own = F.regexp_extract("_file", r"^(.*/features_[^/]*\.parquet)(/.*)?$", 1)
+        parts.append(rows.join(F.broadcast(known), own == F.col("_of")).select("run_id", "feat_idx", "image_name", "features"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def load(spark: SparkSession, parent: str, with_metadata: bool = True) -> Bank:
-    """The bank of all runs under ``parent``."""
-    index = run_index(spark, parent)
-    places = {r["run_id"]: r["input_path"] for r in configs(spark, index).collect()}
-    sets: tuple[list[DataFrame], ...] = ([], [], [])
-    for r in index.collect():  # a row per run
-        sets[0].append(features(spark, r["features"], r["run_id"]))
-        sets[1].append(predictions(spark, r["preds"], r["run_id"]))
-        if with_metadata and places[r["run_id"]]:
-            sets[2].append(metadata(spark, places[r["run_id"]]).select(F.lit(r["run_id"]).alias("run_id"), "image_name", "depth", "profile"))
-    union = lambda parts: parts[0] if len(parts) == 1 else union([parts[0].unionByName(parts[1]), *parts[2:]])
-    empty = spark.createDataFrame([], "run_id string, image_name string, depth double, profile string")
-    return Bank(union(sets[0]), union(sets[1]), union(sets[2]) if sets[2] else empty)
+    """The bank of all runs under ``parent``; features also have the cfg_* columns of their run."""
+    index = run_index(spark, parent).collect()  # a row per run
+    index = spark.createDataFrame([tuple(r) for r in index], "run_id string, run_dir string, " + ", ".join(f"{k} string" for k, _ in KINDS))
+    known = configs(spark, index)
+    paths = lambda c: index.select("run_id", F.col(c).alias("path"))
+    places = known.where("input_path is not null").select("run_id", F.col("input_path").alias("path")) if with_metadata else known.limit(0).select("run_id", F.col("input_path").alias("path"))
+    rows = features(spark, paths("features")).join(F.broadcast(known.drop("input_path")), "run_id")  # a row per run
+    return Bank(rows, predictions(spark, paths("preds")), metadata(spark, places), known.select("run_id", "input_path"))

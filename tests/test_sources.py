@@ -40,10 +40,37 @@ def test_runs(spark, parent):
     assert (c.cfg_loss, c.cfg_temp, c.cfg_gray) == ("supcon", "0.1", None)
     bank = runs.load(spark, str(parent))
     assert bank.features.count() == bank.predictions.count() == 16
+    assert {(r.run_id, r.cfg_loss, r.cfg_temp) for r in bank.features.collect()} == {("r0", "supcon", "0.1"), ("r1", "supcon", "0.1")}
+    assert bank.predictions.where("run_id = 'r1' and pred1_conf = 0.3").first().image_name == "i3.bmp"
     assert dict(bank.predictions.dtypes)["pred1_label"] == "string"
     assert {(r.image_name, r.depth, r.profile) for r in bank.metadata.where("run_id = 'r0'").collect()} == {("i0.bmp", 9.0, None), ("i1.bmp", None, "p")}
 
 
+def test_many_runs_are_one_read(spark, parent):
+    """Files of another column order are read by name, and a plan doesn't grow with the runs."""
+    source = parent / "r0"
+    for i in range(40):
+        d = parent / f"x{i:02}"
+        d.mkdir()
+        for f in source.iterdir():
+            if not f.name.endswith("_"):
+                (d / f.name).write_bytes(f.read_bytes())
+    (parent / "x00" / "predictions_with_top3_scores.csv").write_text("Top-1 Confidence Score,Image Name,Top-1 Predicted Label,Top-2 Predicted Label,Top-2 Confidence Score,Top-3 Predicted Label,Top-3 Confidence Score\n0.75,i1.bmp,q,b,0.1,c,0\n")
+    bank = runs.load(spark, str(parent))
+    assert bank.features.count() == 42 * 8
+    assert bank.predictions.where("run_id = 'x00'").select("image_name", "pred1_label", "pred1_conf").collect() == [("i1.bmp", "q", 0.75)]
+    assert bank.predictions.count() == 41 * 8 + 1
+    assert bank.features._jdf.queryExecution().optimizedPlan().toString().count("Relation") < 4
+
+
+def test_metadata_skips_what_it_cannot_read(spark, tmp_path):
+    (tmp_path / "a.tsv").write_bytes(bytes(range(128, 256)) * 9)
+    (tmp_path / "b.tsv").write_text("")
+    (tmp_path / "c.tsv").write_text("file_name\tobject_depth_min\nq/i.bmp\t2\n")
+    folders = spark.createDataFrame([("r", str(tmp_path)), ("s", f"{tmp_path}/missing")], "run_id string, path string")
+    assert [tuple(r) for r in runs.metadata(spark, folders).collect()] == [("r", "i.bmp", 2.0, None)]
+
+
 def test_no_runs(spark, tmp_path):
     (tmp_path / "x").mkdir()
     (tmp_path / "x" / "config.yaml").write_text("")
@@ -56,6 +83,8 @@ def test_name_column():
     assert runs.name_column(["lat", "my_file"]) == "my_file"
     assert runs.name_column(["lat"]) is None
     assert runs.relaxed_yaml("- 1") == {}
+    with pytest.raises(ValueError, match="not a YAML mapping"):
+        runs.relaxed_yaml("a: [1")
 
 
 def test_image_cascade(spark):

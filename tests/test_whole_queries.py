@@ -1,4 +1,4 @@
-"""Queries without SQL that take their operators' own sample sizes, against brute force."""
+"""Queries that take their operators' own sample sizes, against brute force."""
 
 import numpy as np
 import pytest
@@ -21,20 +21,20 @@ def test_purity_sees_every_row(spark, small, bank):
     same = label[near] == label[:, None]
     centre = {c: v[label == c].mean(0) for c in set(label)}
     want = {"local_density": -np.take_along_axis(d, near, 1)[:, 1:].mean(1), "centroid_dist": [np.linalg.norm(x - centre[c]) for x, c in zip(v, label, strict=True)], "purity_5": same[:, :5].mean(1), "purity_10": same.mean(1)}
-    got = queries.purity_points_whole(spark, small).toPandas().merge(bank[["run_id", "image_name", "feat_idx"]]).sort_values(["run_id", "feat_idx"])
+    got = queries.purity_points(spark, small).toPandas().merge(bank[["run_id", "image_name", "feat_idx"]]).sort_values(["run_id", "feat_idx"])
     assert len(got) == len(bank) > 240
     for c, w in want.items():
         assert np.allclose(got[c], w, atol=2e-6), c
-    r = queries.conf_geometry_corr_whole(spark, small).first()
+    r = queries.conf_geometry_corr(spark, small).first()
     assert r.n == len(bank)
     assert np.isclose(r.density_r, np.corrcoef(bank.pred1_conf, want["local_density"])[0, 1], atol=2e-6)
     assert queries.conf_geometry_p_values(spark, small).first().n == len(bank)
-    for row in queries.purity_per_run_whole(spark, small).collect():
+    for row in queries.purity_per_run(spark, small).collect():
         assert np.isclose(row.purity_10_mean, want["purity_10"][(bank.run_id == row.run_id).to_numpy()].mean(), atol=2e-6)
 
 
 def test_novelty_sees_every_row(spark, small, bank):
-    got = queries.novelty_inbox_whole(spark, small).toPandas()
+    got = queries.novelty_inbox(spark, small).toPandas()
     for run, g in bank.groupby("run_id"):
         assert len(g) > 100
         v = np.stack(g.features.to_list())
@@ -48,7 +48,7 @@ def test_novelty_sees_every_row(spark, small, bank):
         own = got[got.run_id == run].sort_values(["score", "feat_idx"], ascending=[False, True])
         assert set(own.feat_idx) == set(g.feat_idx.to_numpy()[top])
         assert np.allclose(np.sort(own.knn_mean), np.sort(knn[top]), atol=2e-6)
-    sheet = queries.novelty_manifest_whole(spark, small).toPandas()
+    sheet = queries.novelty_manifest(spark, small).toPandas()
     assert set(zip(sheet.run_id, sheet.image_name, strict=True)) == set(zip(got.run_id, got.image_name, strict=True))
 
 
