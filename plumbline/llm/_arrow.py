@@ -1,4 +1,8 @@
-"""Columns computed from texts by Python workers, a bounded part of a batch at a time."""
+"""Columns computed from texts by Python workers, a bounded part of a batch at a time.
+
+The module travels to the executors by value, so the driver's helpers are imported where they are
+used: a worker needs none of this package.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plumbline.llm import _runtime as R
 from plumbline.llm import _words as W
 
 
@@ -25,6 +28,8 @@ def extend(df: DataFrame, text: str, fields: StructType, compute, limit: int = 4
     ``part`` is a record batch whose column ``text`` holds no null. Columns of ``df`` named as
     one of ``fields`` are replaced; all others, the text included, pass through.
     """
+    from plumbline.llm import _runtime as R
+
     R.small_batches(df.sparkSession)
     names = {n.lower() for n in fields.fieldNames()}
     base = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in names])
@@ -46,6 +51,8 @@ def extend(df: DataFrame, text: str, fields: StructType, compute, limit: int = 4
 
 def reduced(df: DataFrame, text: str, schema: str, start, step, finish) -> DataFrame:
     """Rows ``finish(state)`` of each partition, after ``step(state, part)`` for its parts."""
+    from plumbline.llm import _runtime as R
+
     R.small_batches(df.sparkSession)
 
     def run(batches):

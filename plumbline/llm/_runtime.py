@@ -1,49 +1,17 @@
-"""Session helpers shared by the operators: scratch tables and Arrow batch size."""
+"""Session helpers shared by the operators: tables between steps and Arrow batch size."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch holds few.
-ARROW_ROWS = 256
-
-_written: list[tuple[object, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. Where it is unset, a local session takes
-    ``/tmp/checkpoints`` and any other session a folder of its warehouse, never a
-    machine-local one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if spark.sparkContext.master.startswith("local["):
-        return "/tmp/checkpoints"
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    path = f"{scratch_root(spark).rstrip('/')}/plumbline-{name}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
-    return path
+from plumbline.scratch import path as scratch_path
+from plumbline.scratch import written
 
+__all__ = ["ARROW_ROWS", "scratch_path", "small_batches", "text_of", "written"]
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder, and read again.
-
-    It cuts the lineage: a lost executor costs no more than the tasks that read the table.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch holds few.
+ARROW_ROWS = 256
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -52,25 +20,6 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(rows))
 
 
-def pick(df: DataFrame, *names: str) -> DataFrame:
-    """The columns ``names`` alone, whatever other columns ``df`` has."""
-    return df.select(*[df[n] if df.columns.count(n) == 1 else F.col(n) for n in names])
-
-
 def text_of(column: Column | str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            if jvm is not None:
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may have ended already; its folder then stays
-            return
-
-
-atexit.register(_clean)
