@@ -29,6 +29,8 @@ PARTS = 12
 COSINES, RIDGE, SEED = 256, 1e-3, 20240517
 BINS, LOW, HIGH = 2048, -0.5, 1.5
 FOLDS = 5
+#: Bytes of text that a worker measures at once (or one longer text).
+PART = 1 << 20
 
 KINDS = np.zeros(256, np.uint8)  # 0: other bytes of a character, control characters
 KINDS[97:123] = 1
@@ -52,6 +54,21 @@ def per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
+def tallied(byte_kind: np.ndarray, off: np.ndarray, values: int) -> np.ndarray:
+    """How often each value below ``values`` is between the offsets: a row per value, in blocks."""
+    out = np.zeros((values, len(off) - 1))
+    for lo in range(0, len(byte_kind), W.BLOCK):
+        part = byte_kind[lo : lo + W.BLOCK]
+        first = max(0, int(np.searchsorted(off, lo, "right")) - 1)
+        last = min(len(off) - 1, int(np.searchsorted(off, lo + len(part))))
+        at = np.clip(off[first : last + 1] - lo, 0, len(part))
+        sums = np.zeros(len(part) + 1, np.int32)
+        for k in range(values):
+            np.cumsum(part == k, dtype=np.int32, out=sums[1:])
+            out[k, first:last] += np.diff(sums[at])
+    return out
+
+
 def share(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return part / np.maximum(whole, 1)
 
@@ -75,15 +92,15 @@ def statistics(column) -> np.ndarray:
     n = len(column)
     kind = KINDS[data]
     size = np.diff(off)
-    count = [per_text(kind == k, off) for k in range(9)]
-    chars = size - per_text((data & 0xC0) == 0x80, off)
+    count = tallied(kind, off, 9)
+    chars = size - tallied(data >> 6 == 2, off, 2)[1]
     h, f, s, e = W.words(data, off, W.SPACED, lower=False)
     words = np.diff(f)
     doc = np.repeat(np.arange(n), words)
     length = (e - s).astype(float)
     pairs = W.mix(h[:-1] * np.uint64(3) + h[1:])[np.diff(doc) == 0] if len(h) else h
     pair_doc = doc[:-1][np.diff(doc) == 0] if len(h) else doc
-    has = lambda k: np.diff(np.concatenate(([0], np.cumsum(kind == k)))[np.stack((s, e))], axis=0)[0]
+    has = lambda k: np.diff(np.concatenate(([0], np.cumsum(kind == k, dtype=np.int32)))[np.stack((s, e))], axis=0)[0]
     upper, symbol = has(2), has(7) + has(5)
     kinds, top = distinct(h, doc, n)
     again = np.zeros(len(h), bool)
@@ -105,13 +122,13 @@ def statistics(column) -> np.ndarray:
     return np.stack(columns, 1).astype(np.float32)
 
 
-def measured(documents: DataFrame, text: str = "text", out: str = "features") -> DataFrame:
-    """``documents`` with ``out``, the statistics NAMES of each whole text."""
+def measured(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The other columns of ``rows`` and ``features``, the statistics NAMES of each whole text."""
     def compute(part):
         x = statistics(part.column(text))
         return [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))]
 
-    return A.extend(documents, text, StructType([StructField(out, ArrayType(FloatType()))]), compute)
+    return A.extend(rows, text, StructType([StructField("features", ArrayType(FloatType()))]), compute, PART).drop(text)
 
 
 def matrix(column) -> np.ndarray:
@@ -165,15 +182,28 @@ def rising(weight: np.ndarray, total: np.ndarray, centre: np.ndarray) -> tuple[n
     return edges, np.repeat([(t + 0.5) / (w + 1) for w, t, _, _ in pools], 2)  # Laplace's rule keeps 0 and 1 out
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
-    """The model of ``rows`` (doc_id, features, label 0 or 1).
+def sample_of(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, features, label) of the labelled ``documents`` that a fit takes, written.
+
+    Rows are chosen by their ids, before a text is read: of more than ``sample`` labelled rows
+    those with the least hashed ids, in expectation that many. Only their texts are measured.
+    """
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out("doc_id"))
+    known = R.written(documents.select("doc_id").join(known, "doc_id"), "labelled")
+    count = known.count()
+    chosen = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, count)))
+    # bounded by the sample: ids and labels; each id once, so that a text is measured once a row
+    wanted = known.where(chosen).select("doc_id").distinct().hint("broadcast")
+    rows = R.written(measured(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "measured")
+    return R.written(rows.join(labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null"), "doc_id").select("doc_id", "features", "label").repartition(PARTS, "doc_id"), "sample")
+
+
+def fit(rows: DataFrame) -> Model:
+    """The model of ``rows`` (doc_id, features, label 0 or 1), as ``sample_of`` gives them.
 
-    Of more than ``sample`` rows those with the least hashed ids are taken, in expectation that
-    many. No rows, or labels of one kind, give a model whose scores are that kind's rate.
+    No rows, or labels of one kind, give a model whose scores are that kind's rate.
     """
-    count = rows.count()
-    keep = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(1, count)))
-    rows = R.written(rows.where(keep).select("doc_id", "features", "label").repartition(PARTS, "doc_id"), "sample").coalesce(PARTS)
+    rows = rows.coalesce(PARTS)
     d = len(NAMES)
 
     def moments(state, x, y):
@@ -212,53 +242,59 @@ def fit(rows: DataFrame, sample: int = SAMPLE) -> Model:
     return model
 
 
-def scored(rows: DataFrame, model: Model, threshold: float = 0.3, features: str = "features", score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """``rows`` with ``score`` and ``predicted`` of the statistics in ``features``."""
-    base = rows.select(*[F.col(f"`{x}`") for x in rows.columns if x.lower() not in (score, predicted)])
-    schema = StructType(base.schema.fields + [StructField(score, DoubleType()), StructField(predicted, IntegerType())])
-    at = base.columns.index(features)
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows:
-                s = model.score(matrix(batch.column(at)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=schema.fieldNames())
-
-    return base.mapInArrow(run, schema)
-
-
 def held_out(doc_id: Column | str) -> Column:
     """Whether crc32 of the id as text is divisible by FOLDS; such rows' labels are never used."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def judged(batch, text: int, model: Model, send):
+    """Batches ``send(part, scores)`` of a record batch, a bounded part of its texts at a time."""
+    full = batch.set_column(text, "text", A.filled(batch.column(text)))
+    done = 0
+    for part in W.slices(full, "text", PART):
+        yield send(batch.slice(done, part.num_rows), model.score(statistics(part.column(text)).astype(np.float64)))
+        done += part.num_rows
+
+
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """A row per row of ``documents``: doc_id, held_out, score in 0 to 1, predicted 0 or 1.
 
     ``labels`` holds doc_id and quality. A null or empty text is scored as the empty text. Labels
     that are null, or whose document isn't there, are ignored; each of repeated labels counts. A
     row without doc_id is scored, isn't held out and has no label. Other columns are ignored.
+
+    Every text is read once, and measured and scored in one pass; only the sample's are read twice.
     """
-    rows = measured(documents.select(F.col("doc_id"), F.col("text")))
-    rows = R.written(rows.select("doc_id", held_out("doc_id").alias("held_out"), "features"), "features")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out("doc_id"))
-    model = fit(rows.join(known, "doc_id").select("doc_id", "features", "label"), sample)
-    return scored(rows, model, threshold).select("doc_id", "held_out", "score", "predicted")
+    model = fit(sample_of(documents, labels, sample))
+    R.small_batches(documents.sparkSession)
+
+    def send(part, s):
+        return pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+
+    def run(batches):
+        for batch in batches:
+            yield from judged(batch, 2, model, send)
+
+    rows = documents.select("doc_id", held_out("doc_id").alias("held_out"), "text")
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("score", DoubleType()), StructField("predicted", IntegerType())]))
 
 
 def accepted(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``documents`` whose predicted quality is 1, with the columns they have.
 
-    The model is fitted on the labelled ones of ``documents`` as in ``classify``.
+    The model is fitted on the labelled ones of ``documents`` as in ``classify``; no column is
+    added, so columns may have any names.
     """
-    names = documents.columns
-    rows = measured(documents.select("doc_id", "text"))
-    rows = R.written(rows.select("doc_id", "features"), "features")
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label is not null and doc_id is not null").where(~held_out("doc_id"))
-    model = fit(rows.join(known, "doc_id").select("doc_id", "features", "label"), sample)
-    judged = scored(measured(documents, out="_features"), model, threshold, "_features", "_score", "_predicted")
-    return judged.where("_predicted = 1").select(*[F.col(f"`{c}`") for c in names])
+    model = fit(sample_of(documents, labels, sample))
+    R.small_batches(documents.sparkSession)
+    text = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield from judged(batch, text, model, lambda part, s: part.filter(pa.array(s >= threshold)))
+
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
