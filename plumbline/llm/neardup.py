@@ -10,8 +10,7 @@ collision, with five standard deviations to spare; then both whole texts are com
 
 Equal sets are one node from the start, so exact copies never meet. In each band's bucket one
 member is the pivot that all others are compared with. Buckets whose other members are one
-component by then are done. Of the rest, small ones list their pairs of different components, a
-bounded number per member; members of large ones are dealt over blocks, and two blocks are compared
+component by then are done. Members of the rest are dealt over blocks, and two blocks are compared
 in one call that returns links alone. So every pair of a bucket is compared or already connected.
 """
 
@@ -23,9 +22,9 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from plumbline.llm import _arrow as A
 from plumbline.llm import _runtime as R
@@ -35,11 +34,9 @@ from plumbline.llm.components import components
 ROWS, BANDS, MANTISSA = 4, 24, 10
 BUCKETS = ROWS * BANDS
 SLACK = 5.0
-#: Buckets of up to so many members list their pairs; larger ones are compared in blocks.
-SMALL = 24
-#: Shingles in a block of a large group.
-BLOCK_SHINGLES = 60_000
-SKETCH = StructType([StructField("n_shingles", LongType()), StructField("node", BinaryType()), StructField("sketch", BinaryType())])
+#: Shingles and members in a block of a group.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 60_000, 2_000
+SKETCH = StructType([StructField("n_shingles", LongType()), StructField("name", BinaryType()), StructField("sketch", ArrayType(LongType()))])
 
 _random = np.random.RandomState(20240229)
 SCALE = _random.randint(1, 1 << 31, BUCKETS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
@@ -87,21 +84,17 @@ def compressed(least: np.ndarray) -> np.ndarray:
 def sketched(part, text: str, size: int):
     found = sets(part.column(text), size)
     full = [i for i, x in enumerate(found) if len(x)]
-    nodes: list = [None] * len(found)
+    names: list = [None] * len(found)
     rows: list = [None] * len(found)
     if full:
         for i, r in zip(full, registers([found[i] for i in full]), strict=True):
-            nodes[i], rows[i] = name_of(found[i]), r.astype("<u2").tobytes()
-    return [pa.array([len(x) for x in found], pa.int64()), pa.array(nodes, pa.binary()), pa.array(rows, pa.binary())]
+            names[i], rows[i] = name_of(found[i]), r.astype("<u2").view("<i8")
+    return [pa.array([len(x) for x in found], pa.int64()), pa.array(names, pa.binary()), pa.array(rows, pa.list_(pa.int64()))]
 
 
-def banded(batches):
-    """(band, value, node) rows of (node, sketch) rows; a band's value is its registers."""
-    for batch in batches:
-        node = batch.column(0)
-        sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i8").reshape(-1, BANDS)
-        for band in range(BANDS):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sketch), band, np.int32)), pa.array(sketch[:, band]), node], names=["band", "value", "node"])
+def unpacked(column) -> np.ndarray:
+    """The registers of an Arrow column of sketches, a row each."""
+    return column.flatten().to_numpy(zero_copy_only=False).view("<u2").reshape(-1, BUCKETS)
 
 
 def collisions(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -119,16 +112,21 @@ def estimated(n, m, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (share - chance) / (1 - chance)
 
 
+def lowest(threshold: float) -> float:
+    """The least estimate of a pair that is compared: SLACK standard deviations below the threshold."""
+    return threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+
+
 def promising(threshold: float):
     """Keeps pairs that the sizes and the estimate allow to reach the threshold."""
-    low = threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
+    low = lowest(threshold)
 
     def run(batches):
         for batch in batches:
             n, m = (batch.column(c).to_numpy().astype(float) for c in ("n", "m"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, BUCKETS) for c in ("a_sketch", "b_sketch"))
+            a, b = (unpacked(batch.column(c)) for c in ("a_sketch", "b_sketch"))
             keep = (np.minimum(n, m) >= threshold * np.maximum(n, m)) & (estimated(n, m, a, b) >= low)
-            yield batch.select(["a", "b", "a_doc", "b_doc"]).filter(pa.array(keep))
+            yield batch.select(["a", "b", "a_key", "b_key", "a_name", "b_name"]).filter(pa.array(keep))
 
     return run
 
@@ -140,7 +138,7 @@ def name_of(members: np.ndarray) -> bytes:
 def confirmed(percent: int, size: int):
     """Keeps pairs whose whole texts hold sets of the similarity, in percent, or more.
 
-    A text that isn't the node's own (another row with the same doc_id) confirms nothing.
+    A text that isn't the node's own (another text with the same hash) confirms nothing.
     """
 
     def run(batches):
@@ -149,7 +147,7 @@ def confirmed(percent: int, size: int):
                 part = batch.slice(at, 64)
                 a, b = sets(A.filled(part.column("a_text")), size), sets(A.filled(part.column("b_text")), size)
                 keep = []
-                for x, y, *own in zip(a, b, part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True):
+                for x, y, *own in zip(a, b, part.column("a_name").to_pylist(), part.column("b_name").to_pylist(), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                     near = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
                     keep.append(near and [name_of(x), name_of(y)] == own)
@@ -158,127 +156,156 @@ def confirmed(percent: int, size: int):
     return run
 
 
+def text_key(doc_id: str, text: str) -> Column:
+    """The key by which the text of a row is found again; a doc_id may be null or repeat."""
+    return F.xxhash64(R.text_of(text), F.col(doc_id).cast("long"))
+
+
+def texts_of(documents: DataFrame, doc_id: str, text: str, keys: DataFrame) -> DataFrame:
+    """(key, text) of the distinct ``keys`` (key), one row for each different text."""
+    rows = documents.select(text_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(keys, "key", "left_semi")
+    return rows.withColumn("again", F.xxhash64(F.lit(3), "text")).dropDuplicates(["key", "again"]).select("key", "text")
+
+
 def links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
     """The confirmed ones of the pairs ``rows`` (a, b)."""
     spark = nodes.sparkSession
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc").alias(f"{x}_doc"), F.col("n_shingles").alias("n" if x == "a" else "m"), F.col("sketch").alias(f"{x}_sketch"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("key").alias(f"{x}_key"), F.col("name").alias(f"{x}_name"), F.col("n_shingles").alias("n" if x == "a" else "m"), F.col("sketch").alias(f"{x}_sketch"))
     R.small_batches(spark)
-    near = rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_doc", "b_doc", "n", "m", "a_sketch", "b_sketch")
-    near = R.written(near.mapInArrow(promising(percent / 100), "a binary, b binary, a_doc long, b_doc long"), "near")
-    wanted = near.select(F.col("a_doc").alias("doc")).union(near.select("b_doc")).distinct()
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
-    texts = R.written(texts, "texts")
-    both = near.join(texts.select(F.col("doc").alias("a_doc"), F.col("text").alias("a_text")), "a_doc").join(texts.select(F.col("doc").alias("b_doc"), F.col("text").alias("b_text")), "b_doc")
-    return R.written(both.select("a", "b", "a_text", "b_text").mapInArrow(confirmed(percent, size), "a binary, b binary").distinct(), "links")
+    near = rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_key", "b_key", "a_name", "b_name", "n", "m", "a_sketch", "b_sketch")
+    near = R.written(near.mapInArrow(promising(percent / 100), "a long, b long, a_key long, b_key long, a_name binary, b_name binary"), "near")
+    wanted = near.select(F.col("a_key").alias("key")).union(near.select("b_key")).distinct()
+    texts = R.written(texts_of(documents, doc_id, text, wanted), "texts")
+    both = near.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("a_text")), "a_key").join(texts.select(F.col("key").alias("b_key"), F.col("text").alias("b_text")), "b_key")
+    return R.written(both.select("a", "b", "a_name", "b_name", "a_text", "b_text").mapInArrow(confirmed(percent, size), "a long, b long").distinct(), "links")
+
+
+class Block:
+    """Members of one block: their ids, components, sketches and, in one array, their sets."""
+
+    def __init__(self, cell, names: dict):
+        rows = cell.values
+        self.ids = rows.field("node").to_numpy()
+        self.component = np.array([names.setdefault(c, len(names)) for c in rows.field("component").to_pylist()])
+        self.sketch = unpacked(rows.field("sketch"))
+        members = rows.field("members")
+        self.size = np.diff(W.buffers(members)[1]) // 8
+        self.shingles = W.buffers(members)[0].view("<u8")
+        self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
+
+    def index(self) -> None:
+        """Shingles in order, with their owners, for ``shared``."""
+        order = np.argsort(self.shingles, kind="stable")
+        self.keys, self.owners = self.shingles[order], self.owner[order]
+
+    def shared(self, own: np.ndarray) -> np.ndarray:
+        """How many of the sorted shingles ``own`` each member holds."""
+        lo, hi = np.searchsorted(self.keys, own), np.searchsorted(self.keys, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.bincount(self.owners[at], minlength=len(self.ids))
 
 
 def block_links(percent: int):
     """Links between the members of two blocks that no link connects yet.
 
-    Pairs that share a band are taken in order of estimate; a pair whose components are joined by
-    then is skipped, and the others' whole sets are compared.
+    A member of the first block meets all of the second at once: those of its own component by
+    then drop out, sizes and estimates drop more, and what is left is counted exactly through an
+    index of the second block's shingles. What is held is a row of numbers per member, no pairs.
     """
     threshold = percent / 100
-    low = threshold - SLACK * (threshold * (1 - threshold) / BUCKETS) ** 0.5
-
-    def members(cell):
-        rows = cell.values
-        sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), "<u2").reshape(-1, BUCKETS)
-        return rows.field("node").to_pylist(), rows.field("component").to_pylist(), sketch, [np.frombuffer(x, "<u8") for x in rows.field("members").to_pylist()]
-
-    def pairs(x, y):
-        (_, _, a, p), (_, _, b, q) = x, y
-        n, m = np.array([len(v) for v in p], float), np.array([len(v) for v in q], float)
-        bands = a.view("<i8"), b.view("<i8")
-        for i in range(len(a)):
-            share = (bands[0][i] == bands[1]).any(1) & (np.minimum(n[i], m) >= threshold * np.maximum(n[i], m))
-            j = np.flatnonzero(share)
-            e = estimated(np.full(len(j), n[i]), m[j], a[[i]], b[j])
-            yield from ((v, i, k) for v, k in zip(e.tolist(), j.tolist(), strict=True) if v >= low)
+    low = lowest(threshold)
 
     def run(batches):
         for batch in batches:
-            found: list[tuple[bytes, bytes]] = []
+            found: list[tuple[int, int]] = []
             for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = members(left), members(right)
-                parent: dict[bytes, bytes] = {}
-
-                def root(c: bytes, parent=parent) -> bytes:
-                    while parent.get(c, c) != c:
-                        c = parent[c]
-                    return c
-
-                for _, i, k in sorted(pairs(x, y), key=lambda t: (-t[0], t[1], t[2])):
-                    one, two = root(x[1][i]), root(y[1][k])
-                    if one == two:
+                names: dict = {}
+                x, y = Block(left, names), Block(right, names)
+                y.index()
+                kinds, kind = np.unique(y.size, return_inverse=True)
+                for i in range(len(x.ids)):
+                    n = x.size[i]
+                    fits = (np.minimum(n, kinds) >= threshold * np.maximum(n, kinds))[kind]
+                    k = np.flatnonzero(fits & (y.component != x.component[i]))
+                    if len(k):
+                        chance = np.minimum(collisions(np.full(len(kinds), float(n)), kinds.astype(float)), 0.5)[kind[k]]
+                        share = (y.sketch[k] == x.sketch[i]).mean(1)
+                        k = k[(share - chance) / (1 - chance) >= low]
+                    if not len(k):
                         continue
-                    p, q = x[3][i], y[3][k]
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    if 100 * both >= percent * (len(p) + len(q) - both):
-                        parent[one] = two
-                        found.append((x[0][i], y[0][k]))
-            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary())], names=["a", "b"])
+                    both = y.shared(x.shingles[x.start[i] : x.start[i + 1]])[k]
+                    for j in k[100 * both >= percent * (n + y.size[k] - both)]:
+                        one, two = x.component[i], y.component[j]
+                        if one != two:
+                            found.append((int(x.ids[i]), int(y.ids[j])))
+                            x.component[x.component == one] = two
+                            y.component[y.component == one] = two
+            yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     return run
 
 
 def set_rows(size: int):
+    """(name, members) of (key, text) rows."""
     def run(batches):
         for batch in batches:
-            found = [x for part in W.slices(batch.set_column(1, "text", A.filled(batch.column(1))), "text") for x in sets(part.column(1), size)]
-            yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["node", "members"])
+            for part in W.slices(batch.set_column(1, "text", A.filled(batch.column(1))), "text", 1 << 20):
+                found = sets(part.column(1), size)
+                yield pa.RecordBatch.from_arrays([pa.array([name_of(x) for x in found], pa.binary()), pa.array([x.astype("<u8").tobytes() for x in found], pa.binary())], names=["name", "members"])
 
     return run
 
 
-def large_links(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
-    """Links within large ``buckets`` (hub, node, component) of several components.
+def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
+    """Links within ``buckets`` (hub, node, component), each of several components.
 
     Buckets that share members are one group, in which each set is held once. A group's members
-    are dealt over blocks of about BLOCK_SHINGLES shingles; those of its largest component are
-    compared with others only. Two blocks are compared in one call, which returns links alone.
+    are dealt over blocks bounded in shingles and members; those of its largest component, whose
+    blocks are numbered last, are compared with others only. Each pair of blocks is a key of its
+    own, so the pairs of a large group are spread over all tasks.
     """
     spark = nodes.sparkSession
     group = components(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     rows = buckets.select("node", "component").distinct().join(group.select("node", F.col("component").alias("group")), "node")
-    rows = R.written(rows.join(nodes.select("node", "doc", "n_shingles", "sketch"), "node"), "large")
-    most = rows.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max_by("w", F.struct("n", "component")).alias("w"), F.sum("w").alias("all"))
-    wanted = rows.select("doc").distinct()
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).join(wanted, "doc", "left_semi")
-    whole = texts.mapInArrow(set_rows(size), "node binary, members binary").dropDuplicates(["node"])
-    minor = F.col("component") != F.col("most")
-    count = F.ceil(F.when(minor, F.col("all") - F.col("w")).otherwise(F.col("w")) / BLOCK_SHINGLES)
-    rows = rows.join(most, "group").select("group", "node", "component", "sketch", minor.alias("minor"), F.pmod(F.xxhash64("node"), count).alias("block"))
-    blocks = rows.join(whole, "node").groupBy("group", "minor", "block").agg(F.collect_list(F.struct("node", "component", "sketch", "members")).alias("x"))
-    blocks = R.written(blocks, "blocks")
-    pairs = blocks.where("minor").select("group", F.col("block").alias("first"), F.col("x").alias("left")).join(blocks.select("group", "minor", "block", F.col("x").alias("right")), "group")
-    pairs = pairs.where(~F.col("minor") | (F.col("block") >= F.col("first"))).select("left", "right")
+    rows = R.written(rows.join(nodes.select("node", "key", "name", "n_shingles", "sketch"), "node"), "open-nodes")
+    weight = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS))
+    most = rows.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max_by("w", F.struct("n", "component")).alias("w"), F.sum("w").alias("all"))
+    minor_blocks, major_blocks = F.ceil((F.col("all") - F.col("w")) / BLOCK_SHINGLES), F.ceil(F.col("w") / BLOCK_SHINGLES)
+    most = most.select("group", "most", minor_blocks.alias("minor"), major_blocks.alias("major"))
+    place = F.when(F.col("component") != F.col("most"), F.pmod(F.xxhash64("node"), "minor")).otherwise(F.col("minor") + F.pmod(F.xxhash64("node"), "major"))
+    rows = rows.join(most, "group").select("group", "node", "name", "component", "sketch", place.alias("block"), "minor", (F.col("minor") + F.col("major")).alias("blocks"))
+    wanted = group.select("node").join(nodes.select("node", "key"), "node").select("key").distinct()
+    whole = texts_of(documents, doc_id, text, wanted).mapInArrow(set_rows(size), "name binary, members binary").dropDuplicates(["name"])
+    member = F.struct("node", "component", "sketch", "members")
+    blocks = R.written(rows.join(whole, "name").groupBy("group", "block", "minor", "blocks").agg(F.collect_list(member).alias("x")), "blocks")
+    # blocks that are empty have no row; a pair is (first, second), the first of the minor ones
+    first = blocks.where(F.col("block") < F.col("minor")).select("group", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("second"), F.col("x").alias("left"))
+    last = F.least(F.col("block"), F.col("minor") - 1)
+    second = blocks.where(F.col("minor") > 0).select("group", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("first"), F.col("block").alias("second"), F.col("x").alias("right"))
+    pairs = first.join(second.hint("merge"), ["group", "first", "second"]).select("left", "right")
     R.small_batches(spark, 8)
-    found = R.written(pairs.mapInArrow(block_links(percent), "a binary, b binary"), "links")
+    found = R.written(pairs.mapInArrow(block_links(percent), "a long, b long"), "links")
     R.small_batches(spark)
     return found
 
 
-def grouped(nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame | None:
-    """(node, component) of nodes that have links; None where no node has."""
-    bands = nodes.select("node", "sketch").mapInArrow(banded, "band int, value long, node binary")
-    keys = bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+def grouped(nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
+    """(node, component) of nodes that have links."""
+    bands = nodes.select("node", F.posexplode("sketch").alias("band", "value"))
+    keys = bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = R.written(bands.join(keys, ["band", "value"]).where("node <> pivot").select("band", "value", "node", "pivot"), "buckets")
     pairs = R.written(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = links(pairs, nodes, documents, doc_id, text, percent, size)
     # buckets whose members beside the pivot, which is compared with all, are in several components
     named = buckets.select("band", "value", "node").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = R.written(named, "named")
-    open_ = named.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("hub"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
-    left = R.written(named.join(open_.select("band", "value", "hub", "n"), ["band", "value"]), "open")
-    small = left.where(F.col("n") <= SMALL)
-    other = small.select("band", "value", F.col("node").alias("b"), F.col("component").alias("own"))
-    pairs = small.select("band", "value", F.col("node").alias("a"), "component").join(other, ["band", "value"]).where("a < b and component <> own").select("a", "b").distinct()
-    found = found.union(links(R.written(pairs, "pairs"), nodes, documents, doc_id, text, percent, size))
-    large = left.where(F.col("n") > SMALL).select("hub", "node", "component")
-    if large.limit(1).count():
-        found = found.union(large_links(large, nodes, documents, doc_id, text, percent, size))
-    return components(found) if found.limit(1).count() else None
+    open_ = named.groupBy("band", "value").agg(F.min("node").alias("hub"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
+    left = R.written(named.join(open_.select("band", "value", "hub"), ["band", "value"]).select("hub", "node", "component").distinct(), "open")
+    if left.limit(1).count():
+        found = found.union(blocked(left, nodes, documents, doc_id, text, percent, size))
+    return components(found)
 
 
 def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,40 +317,47 @@ def near_duplicates(documents: DataFrame, percent: int = 80, size: int = 5, doc_
     ``kept`` is true for that document alone.
 
     Null and empty texts have no shingles and no links. A row without doc_id takes part, and its
-    component_id is null only if no linked row has a doc_id. Repeated rows are in one component,
-    and each is returned; they are kept alike. Other columns are ignored.
+    component_id is null only if no linked row has a doc_id; then it is kept. Repeated rows are in
+    one component, and each is returned; they are kept alike. Other columns are ignored.
     """
-    spark = documents.sparkSession
-    rows = A.extend(documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "text", SKETCH, lambda part: sketched(part, "text", size))
-    rows = R.written(rows.drop("text"), "sketches")
-    nodes = R.written(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "nodes")
-    names = grouped(nodes.where("doc is not null"), documents, doc_id, text, percent, size)
-    owner = nodes.select("node", F.col("doc").alias("component_id"))
-    if names is not None:
-        named = nodes.select("node", "doc").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-        owner = named.join(least, "component").select("node", "component_id")
-    owner = R.written(owner, "owners")
-    out = rows.select("doc_id", "n_shingles", "node").join(owner, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return judged(documents, percent, size, doc_id, text).drop("key")
+
+
+def judged(documents: DataFrame, percent: int, size: int, doc_id: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the key of each row's text."""
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), text_key(doc_id, text).alias("key"), F.monotonically_increasing_id().alias("row"))
+    rows = R.written(A.extend(rows, "text", SKETCH, lambda part: sketched(part, "text", size)).drop("text"), "sketches")
+    # a node is a different set, known by its least row's number
+    nodes = rows.where("name is not null").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"))
+    nodes = R.written(nodes.join(rows.select(F.col("row").alias("node"), "key", "n_shingles", "sketch"), "node"), "nodes")
+    names = grouped(nodes, documents, doc_id, text, percent, size)
+    named = nodes.select("node", "doc", "name").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
+    owner = R.written(named.join(least, "component").select("name", "component_id"), "owners")
+    out = rows.select("doc_id", "n_shingles", "name", "key").join(owner, "name", "left")
+    component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key")
 
 
 def deduplicated(documents: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """``documents`` with one row of each component: that of the least doc_id.
 
     Of rows repeated with the same doc_id one stays, the least text first. Rows without shingles
-    and rows without doc_id are all kept.
+    are all kept, and so are rows without doc_id in a component that has no doc_id at all; a row
+    without doc_id that is linked to one with a doc_id goes. Columns may have any names.
     """
-    found = R.written(near_duplicates(documents, percent, size), "components")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct().hint("merge")  # the same plan at every size
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    kept = documents.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if twice.limit(1).count() == 0:
-        return kept
-    again = kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_semi")
-    first = again.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_n = 1").drop("_n")
-    return kept.join(twice, F.col("doc_id").cast("long") == F.col("_twice"), "left_anti").unionByName(first)
+    found = R.written(judged(documents, percent, size, "doc_id", "text"), "components")
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_key("doc_id", "text").alias("key"))
+    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct().hint("merge")  # the same plan at every size
+    kept = whole.join(gone, "id", "left_anti")
+    unnamed = found.where("not kept and doc_id is null").select(F.col("key").alias("gone")).distinct()
+    if unnamed.limit(1).count():
+        kept = kept.join(unnamed, F.col("id").isNull() & (F.col("key") == F.col("gone")), "left_anti")
+    twice = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if twice.limit(1).count():
+        again = kept.join(twice, "id", "left_semi").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("row.text")))
+        kept = kept.join(twice, "id", "left_anti").unionByName(again.where("n = 1").drop("n"))
+    return kept.select("row.*")
 
 
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
