@@ -1,15 +1,22 @@
 """Line dedup: later copies of repeated line runs are deleted. DataFrame functions throughout.
 
-The corpus is a sequence of line ids. Distributed prefix doubling ranks the runs of 1, 2, 4, ...
-lines that start at each place: a round pairs a run's rank with that of the run behind it, keeps
-pairs that occur twice or more, and ranks those by a range partitioning and a sort. Equal ranks
-are an interval of the suffix array whose longest common prefix is that many lines or more; a
-place in no such interval leaves. Rounds end at ``min_words`` lines, since shorter runs decide.
-
-A run counts if it has ``min_words`` words. A line is in a counting run that occurs earlier if and
-only if it is in a least counting window (one that no line can leave at its open end) that does;
-such a window of L lines is known by the ranks of its first and last 2**k lines, 2**k <= L. Every
-later member of a window's interval is deleted, so that maximal runs go as a whole.
+The corpus is one sequence of lines with words: documents in order, a gap of one place after each.
+Distributed prefix doubling orders its suffixes. A round pairs the rank of the 2**k lines at each
+place with that of the 2**k lines behind them, keeps pairs that occur twice or more, and ranks
+those by a range partitioning and a sort, so that ranks rise as the suffixes do. Places of equal
+rank are an interval of the suffix array whose longest common prefix is 2**k lines or more; its
+least place is the first copy and the others are later ones. A place in no interval has its final
+order among the repeated and leaves. Rounds end when no interval is left, so the last interval
+of each place tells the longest run, to a power of two, that it shares with an earlier place. The
+starts of a maximal repeated run and the ends of its last intervals cover it as a whole.
+
+A run counts if it has ``min_words`` words. Later copies in intervals that have them are deleted as
+they are. What is left are runs of fewer than 2 * ``min_words`` lines at their edges: a line is in
+one that counts and occurs earlier if and only if it is in a least counting window (one that no
+line can leave at its open end) that does. Such a window of n lines is the overlap of two
+intervals, those of its first and of its last 2**k lines, 2**k <= n.
+
+Ranks that very many places share are split: places meet them in as many keys as needed.
 """
 
 from __future__ import annotations
@@ -20,23 +27,46 @@ from pyspark.sql import functions as F
 from plumbline.llm import _runtime as R
 
 MIN_WORDS = 10
+#: Least rows of a key that is split; keys of less than a partition's share never are.
+SHARE = 1000
 WORD = r"[^\x20\x09-\x0D]+"
-NO_ID = -(1 << 63)
-PLACE = ["_doc", "_copy"]
+#: A document's place in the order: rows without an id first, then by id, repeated ids by text.
+PLACE = ["known", "doc", "copy"]
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def numbered(documents: DataFrame) -> DataFrame:
-    """``documents`` with _doc and _copy: the id (least for null) and a number among rows of one id."""
-    out = documents.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    again = out.groupBy("_doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    order = Window.partitionBy("_doc").orderBy("text")
-    return out.withColumn("_copy", F.row_number().over(order) if again else F.lit(1))
+    """(known, doc, copy, row) of each row, all of its columns in the struct ``row``.
+
+    ``copy`` tells rows of one id apart, in order of text: they are ranked by a range partitioning
+    that includes the text, so an id, or no id, may be that of very many rows.
+    """
+    out = documents.select(F.col("doc_id").isNotNull().cast("int").alias("known"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("doc"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    if not out.groupBy("known", "doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return out.select("known", "doc", F.lit(0).cast("long").alias("copy"), "row")
+    order = ["known", "doc", "row.text"]
+    out = out.repartitionByRange(partitions(out), *order).sortWithinPartitions(*order)
+    return R.written(out.select("known", "doc", F.monotonically_increasing_id().alias("copy"), "row"), "numbered")
+
+
+def based(lines: DataFrame) -> DataFrame:
+    """(known, doc, copy, base) of each document: its first place in the sequence of all lines."""
+    sizes = lines.groupBy(*PLACE).agg((F.max("i") + 2).cast("long").alias("n"))
+    rows = R.written(sizes.repartitionByRange(partitions(lines), *PLACE).withColumn("part", F.spark_partition_id()), "documents")
+    parts = rows.groupBy("part").agg(F.sum("n").alias("n"))  # a row per partition
+    before = F.broadcast(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
+    here = F.sum("n").over(Window.partitionBy("part").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    return R.written(rows.withColumn("here", here).join(before, "part").select(*PLACE, (F.col("before") + F.col("here")).alias("base")), "bases")
 
 
 def places(documents: DataFrame, min_words: int) -> DataFrame:
-    """A row per line with words: _doc, _copy, i (among such lines), line, a and b (its id), and its
-    least windows forward (ahead lines, up to line ahead_end) and backward (back, back_start)."""
-    rows = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, n: F.struct(n.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    """A row per line with words: its document, i (among such lines), line, a and b (its id), w (its
+    words), and its least windows forward (ahead lines, up to line ahead_end) and backward (back,
+    back_start)."""
+    rows = F.transform(F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n"), lambda x, n: F.struct(n.alias("line"), F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("w")))
     rows = F.filter(rows, lambda x: x["w"] > 0)
     docs = documents.select(*PLACE, rows.alias("rows"))
 
@@ -50,7 +80,7 @@ def places(documents: DataFrame, min_words: int) -> DataFrame:
         ahead = least(F.slice("rows", i + 1, F.lit(min_words)))
         first = F.greatest(i - min_words + 1, F.lit(0))
         back = least(F.reverse(F.slice("rows", first + 1, i - first + 1)))
-        return F.struct(i.alias("i"), x["line"].alias("line"), x["a"].alias("a"), x["b"].alias("b"), ahead.alias("ahead"), back.alias("back"))
+        return F.struct(i.alias("i"), x["line"].alias("line"), x["a"].alias("a"), x["b"].alias("b"), x["w"].alias("w"), ahead.alias("ahead"), back.alias("back"))
 
     listed = docs.select(*PLACE, "rows", F.explode(F.transform("rows", place)).alias("p"))
     end = F.get(F.col("rows"), F.col("p.i") + F.col("p.ahead") - 1)["line"]
@@ -60,53 +90,86 @@ def places(documents: DataFrame, min_words: int) -> DataFrame:
 
 def ranked(keys: DataFrame, *order: str) -> DataFrame:
     """``keys`` with rank, which rises with ``order``; keys are distinct."""
-    parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    return R.written(rows.withColumn("rank", F.monotonically_increasing_id()), "ranks")
-
-
-def doubled(lines: DataFrame, min_words: int) -> DataFrame:
-    """(_doc, _copy, k, i, rank) for each repeated run of 2**k lines that starts at line i."""
-    names = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "a", "b")
-    now = R.written(lines.select(*PLACE, "i", "a", "b").join(names, ["a", "b"]).select(*PLACE, "i", "rank"), "runs")
-    levels, k = now.withColumn("k", F.lit(0)), 0
-    while 2 << k <= min_words:
-        behind = now.select(*PLACE, (F.col("i") - (1 << k)).alias("i"), F.col("rank").alias("next"))
-        pairs = R.written(now.join(behind, [*PLACE, "i"]), "pairs")
-        names = ranked(pairs.groupBy(F.col("rank").alias("first"), "next").agg(F.count("*").alias("n")).where("n > 1").select("first", "next"), "first", "next")
+    rows = keys.repartitionByRange(partitions(keys), *order).sortWithinPartitions(*order)
+    return R.written(rows.withColumn("place", F.monotonically_increasing_id()), "ranks")
+
+
+def met(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the distinct ``keys``, of which n counts the rows that have them.
+
+    A key with more than a partition's share of these rows is split into keys of that share, to
+    which ``by`` deals its rows. There are fewer such keys than partitions, so a broadcast of them
+    is small at any size of the input.
+    """
+    parts = partitions(rows)
+    share = F.lit(max(SHARE, -(-(keys.agg(F.sum("n")).first()[0] or 0) // parts)))
+    split = F.ceil(F.col("n") / share)
+    hot = F.broadcast(keys.where(F.col("n") > share).select(*on, split.alias("splits")))
+    dealt = rows.join(hot, on, "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64(by), F.col("splits")), F.lit(0).cast("long"))).drop("splits")
+    return dealt.join(keys.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).drop("n"), [*on, "split"], how).drop("split")
+
+
+def repeated(lines: DataFrame, bases: DataFrame) -> DataFrame:
+    """Lines that occur twice or more: p (their place), base, rank and the columns of ``lines``."""
+    names = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "a", "b")
+    rows = met(lines, names, ["a", "b"], "doc").join(bases, PLACE)
+    return R.written(rows.select((F.col("base") + F.col("i")).alias("p"), "base", F.col("place").alias("rank"), "w", "line", "ahead", "ahead_end", "back", "back_start"), "repeated")
+
+
+def doubled(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """Intervals of the suffix array of ``repeated`` lines.
+
+    First (k, p, rank) for each repeated run of 2**k lines at place p, 2**k at most ``min_words``.
+    Second (base, p, n, start, end) for each place whose last interval with an earlier place has
+    ``min_words`` words: the n lines from p, lines start to end of a document.
+    """
+    now = lines.select("p", "base", "rank", F.col("w").cast("long").alias("words"), F.col("line").alias("start"), F.col("line").alias("end"), F.lit(False).alias("later"))
+    levels, runs, k = now.select(F.lit(0).alias("k"), "p", "rank"), None, 0
+    while True:
+        behind = now.select((F.col("p") - (1 << k)).alias("p"), F.col("rank").alias("next"), F.col("words").alias("more"), F.col("end").alias("last"))
+        pairs = R.written(now.join(behind, "p", "left"), "pairs")
+        names = pairs.where("next is not null").groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
+        both = met(pairs, ranked(names, "rank", "next"), ["rank", "next"], "p", "left")
+        after = R.written(both.withColumn("again", F.coalesce(F.col("p") > F.col("first"), F.lit(False))), "intervals")
+        ended = after.where(F.col("later") & ~F.col("again") & (F.col("words") >= min_words)).select("base", "p", F.lit(1 << k).alias("n"), "start", "end")
+        runs = ended if runs is None else runs.unionByName(ended)
+        now = after.where("place is not null").select("p", "base", F.col("place").alias("rank"), (F.col("words") + F.col("more")).alias("words"), "start", F.col("last").alias("end"), F.col("again").alias("later"))
         k += 1
-        pairs = pairs.withColumnRenamed("rank", "first")
-        now = R.written(pairs.join(names, ["first", "next"]).select(*PLACE, "i", "rank"), "runs")
         if now.limit(1).count() == 0:
-            break
-        levels = levels.unionByName(now.withColumn("k", F.lit(k)))
-    return levels
-
-
-def later_runs(lines: DataFrame, min_words: int) -> DataFrame:
-    """(_doc, _copy, start, end) lines of least counting windows that occur earlier; end is included."""
-    levels = doubled(lines, min_words)
-    repeated = lines.join(levels.where("k = 0").select(*PLACE, "i"), [*PLACE, "i"])
-    ahead = repeated.where("ahead > 0").select(*PLACE, "i", F.col("ahead").alias("n"), F.col("line").alias("start"), F.col("ahead_end").alias("end"))
-    back = repeated.where("back > 0").select(*PLACE, (F.col("i") - F.col("back") + 1).alias("i"), F.col("back").alias("n"), F.col("back_start").alias("start"), F.col("line").alias("end"))
-    windows = ahead.union(back).distinct().withColumn("k", F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int"))
-    first = levels.select(*PLACE, "k", "i", F.col("rank").alias("head"))
-    last = levels.select(*PLACE, "k", F.col("i").alias("j"), F.col("rank").alias("tail"))
-    windows = windows.join(first, [*PLACE, "k", "i"]).withColumn("j", (F.col("i") + F.col("n") - F.pow(F.lit(2), F.col("k"))).cast("int"))
-    windows = R.written(windows.join(last, [*PLACE, "k", "j"]).select(*PLACE, "i", "n", "head", "tail", "start", "end"), "windows")
-    at = F.struct(*PLACE, "i")
-    firsts = windows.groupBy("n", "head", "tail").agg(F.min(at).alias("at"), F.count("*").alias("times")).where("times > 1")
-    later = windows.join(firsts, ["n", "head", "tail"]).where(at > F.col("at"))
-    return later.select(*PLACE, "start", "end").distinct()
-
-
-def runs(windows: DataFrame) -> DataFrame:
-    """(_doc, _copy, runs) with the union of a document's windows as spans (start, end excluded)."""
-    order = Window.partitionBy(*PLACE).orderBy("start", "end")
+            return levels, runs
+        if 1 << k <= min_words:
+            levels = levels.unionByName(now.select(F.lit(k).alias("k"), "p", "rank"))
+
+
+def later_runs(lines: DataFrame, bases: DataFrame, min_words: int) -> DataFrame:
+    """(base, start, end) lines of counting runs that occur earlier; end is included."""
+    rows = repeated(lines, bases)
+    levels, runs = doubled(rows, min_words)
+    runs = R.written(runs, "runs")
+    ahead = rows.where("ahead > 0").select("base", "p", F.col("ahead").alias("n"), F.col("line").alias("start"), F.col("ahead_end").alias("end"))
+    back = rows.where("back > 0").select("base", (F.col("p") - F.col("back") + 1).alias("p"), F.col("back").alias("n"), F.col("back_start").alias("start"), F.col("line").alias("end"))
+    # a window inside a run found above is deleted with it, and is no first copy
+    inside = runs.select("p", F.col("n").alias("reach"))
+    windows = ahead.union(back).dropDuplicates(["p", "n"]).join(inside, "p", "left").where("reach is null or reach < n").drop("reach")
+    windows = windows.withColumn("k", F.floor(F.log2(F.col("n").cast("double")) + 1e-9).cast("int"))
+    windows = windows.join(levels.select("p", "k", F.col("rank").alias("head")), ["p", "k"])
+    windows = windows.withColumn("q", (F.col("p") + F.col("n") - F.pow(F.lit(2), F.col("k"))).cast("long"))
+    windows = windows.join(levels.select(F.col("p").alias("q"), "k", F.col("rank").alias("tail")), ["q", "k"])
+    windows = R.written(windows.select("base", "p", F.col("n").alias("length"), "head", "tail", "start", "end"), "windows")
+    on = ["length", "head", "tail"]
+    firsts = R.written(windows.groupBy(*on).agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1"), "firsts")
+    short = met(windows, firsts, on, "p").where(F.col("p") > F.col("first"))
+    return runs.select("base", "start", "end").union(short.select("base", "start", "end"))
+
+
+def merged(spans: DataFrame) -> DataFrame:
+    """(base, runs) with the union of a document's runs as spans (start, end excluded)."""
+    order = Window.partitionBy("base").orderBy("start", "end")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = windows.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
-    spans = marked.groupBy(*PLACE, "run").agg(F.min("start").alias("start"), (F.max("end") + 1).alias("end"))
-    return spans.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
+    spans = spans.groupBy("base", "start").agg(F.max("end").alias("end"))
+    marked = spans.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    whole = marked.groupBy("base", "run").agg(F.min("start").alias("start"), (F.max("end") + 1).alias("end"))
+    return whole.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def deduplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -115,25 +178,25 @@ def deduplicate_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataF
     Lines are parts between line feeds. A run of successive lines, those without words left out,
     counts if it has ``min_words`` words or more; where one occurs again, later in order of doc_id
     and line, the later lines with words are deleted. ``runs`` lists the deleted spans of lines,
-    and lines without words inside them stay. Columns of these names are replaced; others
-    stay, but ``_doc``, ``_copy`` and ``_kept`` may not be among them.
+    and lines without words inside them stay. Columns of these names are replaced; others may have
+    any name and stay.
 
-    A null text is an empty text of one line, and stays null. A null doc_id comes before all
+    A null text is an empty text of one line, and stays null. Rows without doc_id come before all
     others; rows of one doc_id are in order of text, so of repeated rows the first one stays.
     """
-    base = documents.drop("n_lines", "n_deleted", "runs")
-    keyed = numbered(base)
-    lines = R.written(places(keyed.select(*PLACE, "text"), min_words), "lines")
-    found = R.written(runs(later_runs(lines, min_words)), "spans")
+    keyed = numbered(documents.drop("n_lines", "n_deleted", "runs"))
+    lines = R.written(places(keyed, min_words), "lines")
+    bases = based(lines)
+    found = R.written(merged(later_runs(lines, bases, min_words)).join(bases, "base").drop("base"), "spans")
     out = keyed.join(found.hint("merge"), PLACE, "left")  # the same plan at every size
-    rows = F.split("text", "\n")
+    rows = F.split("row.text", "\n")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    out = out.withColumn("runs", F.coalesce("runs", none))
+    out = out.select("row", F.coalesce("runs", none).alias("runs"))
     kept = F.filter(rows, lambda x, n: ~F.exists("runs", lambda s: (s["start"] <= n) & (n < s["end"])) | (F.regexp_count(x, F.lit(WORD)) == 0))
-    out = out.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(1)).cast("long")).withColumn("_kept", F.when(F.size("runs") == 0, rows).otherwise(kept))
-    out = out.withColumn("n_deleted", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("n_deleted") == 0, F.col("text")).otherwise(F.array_join("_kept", "\n")))
-    return out.select(*base.columns, "n_lines", "n_deleted", "runs")
+    out = out.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(1)).cast("long")).withColumn("kept", F.when(F.size("runs") == 0, rows).otherwise(kept))
+    out = out.withColumn("n_deleted", F.when(F.col("row.text").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")).cast("long"))
+    out = out.withColumn("text", F.when(F.col("n_deleted") == 0, F.col("row.text")).otherwise(F.array_join("kept", "\n")))
+    return out.select(F.col("row").withField("text", F.col("text")).alias("row"), "n_lines", "n_deleted", "runs").select("row.*", "n_lines", "n_deleted", "runs")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
