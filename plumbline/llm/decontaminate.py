@@ -6,37 +6,34 @@ contains the window holds every shingle of it, so the rarest one is a sufficient
 shingles are joined with these prefixes alone. A match fixes where the window would lie; bounds on
 that position and the remaining length drop it or all words are compared.
 
-The windows are the query set, held by each worker in blocks of a fixed size; documents are never
-shuffled, so neither a hot source nor a passage that many documents share makes a large task.
+The windows are the query set. They are judged in blocks of a fixed size, one after another: the
+driver and each worker hold one block at a time, and what is found is written before the next. No
+document is dealt by what it shares, so a passage that many documents share makes no large task.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from plumbline.llm import _arrow as A
 from plumbline.llm import _runtime as R
 from plumbline.llm import _words as W
 
-#: Words of benchmark items in one block: about 200 MB in a worker, and the most the driver holds.
+#: Words of benchmark items in one block: about 100 MB, the most that the driver or a worker holds.
 BLOCK_WORDS = 1_000_000
 BITS = 22
-
-SPAN = StructType([StructField("start", LongType()), StructField("end", LongType())])
-FIELDS = StructType([
-    StructField("n_words", LongType()),
-    StructField("n_hit", LongType()),
-    StructField("spans", ArrayType(SPAN)),
-    StructField("items", ArrayType(StringType())),
-    StructField("contaminated", BooleanType()),
-])
+#: A word as the windows see it, for counting: no ASCII character but a letter or digit.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+FOUND = "key long, again long, spans array<struct<start:long,end:long>>, items array<string>"
+ADDED = ("n_words", "n_hit", "spans", "items", "contaminated")
 
 
 class Index:
@@ -78,7 +75,6 @@ class Index:
         used, at = np.unique(token, return_index=True)
         self.tokens, self.at = self.tokens[used], np.append(at, len(token))
         self.seen = bitmap(self.tokens)
-        self.grid = self.start[:, None] + np.minimum(np.arange(self.window), self.length[:, None] - 1)
         del self.of, self.place, self.token
 
 
@@ -115,52 +111,81 @@ def occurrences(index: Index, h: np.ndarray, f: np.ndarray):
         window, first = window[fits], first[fits]
         for lo in range(0, len(window), 1 << 18):
             w, p = window[lo : lo + (1 << 18)], first[lo : lo + (1 << 18)]
-            offset = index.grid[w] - index.start[w][:, None]
-            same = (index.words[index.grid[w]] == h[p[:, None] + offset]).all(1)
+            offset = np.minimum(np.arange(index.window), index.length[w][:, None] - 1)
+            same = (index.words[index.start[w][:, None] + offset] == h[p[:, None] + offset]).all(1)
             out.append((p[same], w[same]))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
-def judge(blocks, part, text: str):
-    """The columns FIELDS for a record batch."""
+def judge(index: Index, part, text: str):
+    """A batch FOUND of the rows of ``part`` (key, again and text) in which a window occurs."""
     h, f, _, _ = W.words(*W.buffers(part.column(text)), W.ALNUM)
-    edge, found = np.zeros(len(h) + 1, np.int64), []
-    for block in blocks:
-        index = block.value
-        first, window = occurrences(index, h, f)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + index.length[window], -1)
-        pairs = np.unique((np.searchsorted(f, first, "right") - 1) * len(index.ids) + index.item[window])
-        found += [(int(p) // len(index.ids), index.ids[int(p) % len(index.ids)]) for p in pairs]
+    first, window = occurrences(index, h, f)
+    doc = np.searchsorted(f, first, "right") - 1
+    items: dict[int, set[str]] = {}
+    for pair in np.unique(doc * len(index.ids) + index.item[window]).tolist():
+        items.setdefault(pair // len(index.ids), set()).add(index.ids[pair % len(index.ids)])
+    edge = np.zeros(len(h) + 1, np.int64)
+    np.add.at(edge, first, 1)
+    np.add.at(edge, first + index.length[window], -1)
     hit = np.cumsum(edge[:-1]) > 0
-    count = np.concatenate(([0], np.cumsum(hit)))
-    n_hit = count[f[1:]] - count[f[:-1]]
-    items: list[list[str]] = [[] for _ in range(part.num_rows)]
-    for doc, item in set(found):
-        items[doc].append(item)
-    spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
-    for doc in np.flatnonzero(n_hit):
-        x = np.diff(np.concatenate(([0], hit[f[doc] : f[doc + 1]].astype(np.int8), [0])))
-        spans[doc] = [{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(x == 1), np.flatnonzero(x == -1), strict=True)]
-    return [
-        pa.array(np.diff(f), pa.int64()), pa.array(n_hit, pa.int64()),
-        pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-        pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(n_hit > 0),
-    ]
-
-
-def indexes(benchmark: DataFrame, window: int, shingle: int) -> list[Index]:
-    """The benchmark's windows in blocks of about BLOCK_WORDS words (or one longer item)."""
+    docs, spans = sorted(items), []
+    for d in docs:
+        x = np.diff(np.concatenate(([0], hit[f[d] : f[d + 1]].astype(np.int8), [0])))
+        spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(x == 1), np.flatnonzero(x == -1), strict=True)])
+    own = part.select(["key", "again"]).take(pa.array(docs, pa.int64()))
+    return pa.RecordBatch.from_arrays([*own.columns, pa.array(spans, SPANS), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string()))], names=["key", "again", "spans", "items"])
+
+
+def indexes(benchmark: DataFrame, window: int, shingle: int) -> Iterator[Index]:
+    """The benchmark's windows in blocks of about BLOCK_WORDS words (or one longer item), in turn."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), R.text_of("text").alias("text")).where("item_id is not null").distinct()
-    words = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, -(-words // (2 * BLOCK_WORDS)))  # a word and the gap after it are two characters at least
-    out = []
+    items = R.written(items, "items")
+    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // (2 * BLOCK_WORDS)))  # a word and the gap after it are two characters at least
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        out.append(Index([r[0] for r in rows], [r[1] for r in rows], window, shingle))
-    return [x for x in out if len(x.item)]
+        index = Index([r[0] for r in rows], [r[1] for r in rows], window, shingle)
+        del rows
+        if len(index.item):
+            yield index
+
+
+def occurring(rows: DataFrame, index: Index, text: str) -> DataFrame:
+    """FOUND for the ``rows`` (key, again, text) in which a window of the block occurs, written."""
+    context = rows.sparkSession.sparkContext
+    sent = context.broadcast(index)
+    counts = A.reduced(rows.select(text), text, "token long, n long", lambda: np.zeros(len(sent.value.tokens), np.int64), lambda state, part: tally(sent.value, state, part, text), totals)
+    frequency = np.zeros(len(index.tokens), np.int64)
+    for r in counts.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator():  # bounded by the block's shingles
+        frequency[r[0]] = r[1]
+    sent.destroy()
+    index.order(frequency)
+    sent = context.broadcast(index)
+
+    def run(batches):
+        for batch in batches:
+            full = batch.set_column(2, text, A.filled(batch.column(2)))
+            for part in W.slices(full, text):
+                yield judge(sent.value, part, text)
+
+    found = R.written(rows.mapInArrow(run, FOUND).dropDuplicates(["key", "again"]), "occurring")
+    sent.destroy()
+    return found
+
+
+def union(spans: Column) -> Column:
+    """The union of spans as spans in order."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint>>")
+
+    def add(out: Column, x: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        joined = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
+        return F.when((F.size(out) > 0) & (x["start"] <= last["end"]), joined).otherwise(F.concat(out, F.array(x)))
+
+    return F.aggregate(F.array_sort(spans), none, add)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, shingle: int = 5, text: str = "text") -> DataFrame:
@@ -169,24 +194,26 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     Words are runs of ``[0-9a-z]`` and non-ASCII characters after A-Z are lower-cased. Adds
     n_words, n_hit (words inside an occurrence of a window), spans (those words' merged ranges,
     end excluded), items (ids as strings, sorted, of items with an occurring window) and
-    contaminated; columns of these names in ``documents`` are replaced.
+    contaminated; columns of these names in ``documents`` are replaced, others may have any name.
 
     A null or empty text has no words and is clean; a null item text has no windows; an item
     without an id is left out. Repeated rows of documents are judged alike, repeated items count
     once. An empty benchmark leaves every document clean.
     """
-    spark = documents.sparkSession
-    blocks = indexes(benchmark, window, shingle)
-    for index in blocks:
-        sent = spark.sparkContext.broadcast(index)
-        rows = A.reduced(R.pick(documents, text), text, "token long, n long", lambda s=sent: np.zeros(len(s.value.tokens), np.int64), lambda state, part, s=sent: tally(s.value, state, part, text), totals)
-        frequency = np.zeros(len(index.tokens), np.int64)
-        for r in rows.groupBy("token").agg(F.sum("n").alias("n")).toLocalIterator():  # bounded by the block's shingles
-            frequency[r[0]] = r[1]
-        index.order(frequency)
-        sent.unpersist()
-    sent = [spark.sparkContext.broadcast(x) for x in blocks]
-    return A.extend(documents, text, FIELDS, lambda part: judge(sent, part, text))
+    names = [c for c in documents.columns if c.lower() not in ADDED]
+    known = [F.col(f"`{c}`") for c in names if c == text or c.lower() == "doc_id"]  # copies of a text differ in id
+    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(*known).alias("key"), F.xxhash64(F.lit(3), *known).alias("again"))
+    rows = keyed.select("key", "again", F.col(f"row.`{text}`").alias(text))
+    found = documents.sparkSession.createDataFrame([], FOUND)
+    for index in indexes(benchmark, window, shingle):
+        found = found.unionByName(occurring(rows, index, text))
+    found = found.groupBy("key", "again").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = R.written(found.select("key", "again", union(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "found")
+    out = keyed.join(found.hint("merge"), ["key", "again"], "left")  # the same plan at every size
+    out = out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    n_words = F.coalesce(F.regexp_count(F.col(f"row.`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], n_words.alias("n_words"), n_hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
 
 
 def tally(index: Index, state: np.ndarray, part, text: str) -> None:
