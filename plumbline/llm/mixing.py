@@ -1,13 +1,14 @@
 """Mixing sources to target weights by systematic sampling.
 
-Within a source every document has the same expected number of copies, its target over its size.
-Documents are ordered by size, so a systematic sample meets the target in words and not only in
-documents. A document's prefix sum of expected copies is its rank times that number; with one
-random offset it is taken once per integer boundary that the prefix sum crosses.
-
-Ranks come from a range partitioning on (source, size, hash of the id): rows are counted within a
-partition and offset by the counts of the partitions before, so a source of any size is spread
-over many tasks.
+Within a source a document's expected copies are what is still wanted of the source over what is
+still left of it. Prefix sums of expected copies, in order of falling size, start at one random
+offset for the source; a document is taken once per integer boundary that its step crosses.
+
+The few large documents that could carry the sample off its target come first, each with the rate
+that the ones before it leave. The many others share one rate, so a prefix sum is a rank times that
+rate. Ranks come from a range partitioning on (source, size, hash of the id): rows are counted
+within a partition and offset by the counts of the partitions before, so a source of any size is
+spread over many tasks.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import functions as F
 from plumbline.llm import _runtime as R
 
 SEED = 20240311
-#: Random offsets tried for each source; the one whose sample is nearest to the target is taken.
-OFFSETS = 16
+#: A document is large that has more than 1/200 of its source's target and 1/1000 of its source:
+#: no source has more than 1000 of them.
+LARGE_TARGET, LARGE_SOURCE = 200, 1000
 
 
 def words(text: Column) -> Column:
@@ -49,56 +51,96 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, cap: flo
     return out.select("source", "source_size", target.alias("target"))
 
 
-def crossings(expected: Column, offset: Column, rank: Column) -> Column:
-    """Integers in the step of the prefix sum from rank - 1 to rank, never above the ceiling."""
-    step = F.floor(offset + rank * expected) - F.floor(offset + (rank - 1) * expected)
-    return F.least(step, F.ceil(expected))
+def crossings(before: Column, after: Column) -> Column:
+    """Integers in the step of a prefix sum."""
+    return (F.floor(after) - F.floor(before)).cast("long")
+
+
+def copies_of_large(large: DataFrame, cap: float) -> DataFrame:
+    """(of, at, taken, big): for each source of ``large``, its rows in order with their copies.
+
+    ``at`` is the offset and all expected copies up to the last one, ``taken`` the words so far
+    and ``big`` the words of all large ones. A source has LARGE_SOURCE rows at most.
+    """
+    item = F.struct((-F.col("size")).alias("order"), "shuffled", "doc_id", "mark", "ordinal", "size")
+    lists = large.groupBy("source").agg(F.first("offset").alias("offset"), F.first("target").alias("target"), F.first("source_size").alias("source_size"), F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.struct(F.col("offset").alias("at"), F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("passed"), F.array().cast("array<bigint>").alias("copies"))
+
+    def step(s: Column, x: Column) -> Column:
+        rate = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), (F.col("target") - s["taken"]) / (F.col("source_size") - s["passed"])))
+        n = crossings(s["at"], s["at"] + rate)
+        return F.struct((s["at"] + rate).alias("at"), (s["taken"] + n * x["size"]).alias("taken"), (s["passed"] + x["size"]).alias("passed"), F.concat(s["copies"], F.array(n)).alias("copies"))
+
+    out = lists.withColumn("s", F.aggregate("items", start, step))
+    return out.select(F.col("source").alias("of"), F.col("s.at").alias("at"), F.col("s.taken").alias("taken"), F.col("s.passed").alias("big"), F.arrays_zip("items", F.col("s.copies").alias("copies")).alias("rows"))
+
+
+def identified(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, mark, ordinal, row): ``mark`` is a hash of the text, ``ordinal`` numbers rows
+    that are equal in all three, and ``row`` holds all columns."""
+    out = documents.select("doc_id", "source", F.xxhash64("text").alias("mark"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    key = ["doc_id", "source", "mark"]
+    if not out.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return out.withColumn("ordinal", F.lit(1))
+    return out.withColumn("ordinal", F.row_number().over(Window.partitionBy(*key).orderBy("mark")))
 
 
 def plan(documents: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, seed: int = SEED) -> DataFrame:
-    """A row per row of ``documents``: doc_id, source, ordinal, size, source_size, target, copies.
+    """A row per row of ``documents``: doc_id, source, mark, ordinal, size, source_size, target, copies.
 
-    ``size`` is the text's words; ``copies`` is 0 to ``ceil(cap)``. ``ordinal`` numbers the rows
-    of one doc_id and source by size; it is 1 where ids don't repeat. A null text has size 0, a
-    null source is a source of its own, and rows without doc_id take part. A source without words
-    has target 0 and no copies. An empty table gives an empty plan. Other columns are ignored.
+    ``size`` is the text's words; ``copies`` is 0 to ``ceil(cap)``. ``mark`` is a hash of the text,
+    and ``ordinal`` numbers rows of equal doc_id, source and mark; it is 1 where none are. A null
+    text has size 0, a null source is a source of its own, and rows without doc_id take part. A
+    source without words has target 0 and no copies. An empty table gives an empty plan. Other
+    columns are ignored.
     """
-    spark = documents.sparkSession
-    sized = documents.select(F.col("doc_id"), F.col("source"), words(F.col("text")).alias("size"))
+    return planned(identified(documents.select("doc_id", "source", "text")), weights, share, cap, seed)
+
+
+def planned(rows: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, cap: float = 3.0, seed: int = SEED) -> DataFrame:
+    """``plan`` of ``identified`` rows."""
+    spark = rows.sparkSession
+    sized = rows.select("doc_id", "source", "mark", "ordinal", words(F.col("row.text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "mark").alias("shuffled"))
     sized = R.written(sized, "sizes")
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap)
-    order = ["source", "size", "shuffled", "doc_id"]
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    bound = F.greatest(F.col("target") / LARGE_TARGET, F.col("source_size") / LARGE_SOURCE)
+    sources = R.written(sources.select(F.col("source").alias("of"), "source_size", "target", draw.alias("offset"), bound.alias("bound")), "targets")
+    same = F.col("source").eqNullSafe(F.col("of"))
+    large = copies_of_large(sized.join(sources, same).where("size > bound"), cap)
+    large = R.written(large, "large")
+    left = sources.join(large.select(F.col("of").alias("source"), "at", "taken", "big"), same, "left").drop("source")
+    words_left = F.col("source_size") - F.coalesce("big", F.lit(0))
+    rate = F.least(F.lit(float(cap)), F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("target") - F.coalesce("taken", F.lit(0)), words_left), F.lit(0.0))))
+    left = R.written(left.select("of", "source_size", "target", "bound", F.coalesce("at", "offset").alias("at"), rate.alias("rate")), "rates")
+
+    small = sized.join(left, same).where("size <= bound").drop("of", "bound")
+    order = [F.col("source"), F.col("size").desc(), F.col("shuffled"), F.col("doc_id"), F.col("mark"), F.col("ordinal")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sized.withColumn("shuffled", F.xxhash64(F.lit(seed), "doc_id")).repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
-    rows = R.written(rows, "ranges")
-    counts = rows.groupBy("part", "source").agg(F.count("*").alias("n"))
-    offset = F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")
-    counts = counts.select(F.col("part").alias("at"), F.col("source").alias("of"), offset.alias("before"))
-    here = F.row_number().over(Window.partitionBy("part", "source").orderBy("size", "shuffled", "doc_id"))
-    rows = rows.withColumn("here", here).join(counts, (F.col("part") == F.col("at")) & F.col("source").eqNullSafe(F.col("of")))
-    rows = rows.select("doc_id", "source", "size", (F.col("before") + F.col("here")).alias("rank"))
-    sources = R.written(sources.select(F.col("source").alias("of"), "source_size", "target", F.coalesce(F.least(F.try_divide(F.col("target"), F.col("source_size")), F.lit(float(cap))), F.lit(0.0)).alias("expected")), "targets")
-    rows = R.written(rows.join(sources, F.col("source").eqNullSafe(F.col("of"))).drop("of"), "ranks")
-    # the random offsets are multiples of 2**-20, so that sums with whole numbers are exact
-    draws = [(F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.coalesce("source", F.lit("")), F.col("source").isNull()), F.lit(1 << 20)) / F.lit(float(1 << 20))).alias(f"u{k}") for k in range(OFFSETS)]
-    tried = rows.select("source", "size", "rank", "expected", "target", *draws).groupBy("source").agg(F.first("target").alias("target"), *[F.first(f"u{k}").alias(f"u{k}") for k in range(OFFSETS)], *[F.sum(F.col("size") * crossings(F.col("expected"), F.col(f"u{k}"), F.col("rank"))).alias(f"t{k}") for k in range(OFFSETS)])
-    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k"), F.col(f"u{k}").alias("offset")) for k in range(OFFSETS)]))
-    chosen = R.written(tried.select(F.col("source").alias("of"), best["offset"].alias("offset")), "offsets")
-    ordinal = F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("size", "rank"))
-    rows = rows.join(chosen, F.col("source").eqNullSafe(F.col("of"))).withColumn("ordinal", ordinal)
-    return rows.select("doc_id", "source", "ordinal", "size", "source_size", "target", crossings(F.col("expected"), F.col("offset"), F.col("rank")).cast("long").alias("copies"))
+    small = R.written(small.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "ranges")
+    counts = small.groupBy("part", "source").agg(F.count("*").alias("n"))
+    counts = counts.select(F.col("part").alias("in"), F.col("source").alias("of"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
+    here = F.row_number().over(Window.partitionBy("part", "source").orderBy(*order[1:]))
+    small = small.withColumn("here", here).join(counts, (F.col("part") == F.col("in")) & same)
+    rank = F.col("before") + F.col("here")
+    small = small.withColumn("copies", crossings(F.col("at") + (rank - 1) * F.col("rate"), F.col("at") + rank * F.col("rate")))
+
+    found = large.select(F.col("of").alias("source"), F.explode("rows").alias("r")).select("source", "r.items.doc_id", "r.items.mark", "r.items.ordinal", "r.items.size", "r.copies")
+    found = found.join(sources.select("of", "source_size", "target"), same)
+    columns = ["doc_id", "source", "mark", "ordinal", "size", "source_size", "target", "copies"]
+    return small.select(*columns).union(found.select(*columns))
 
 
 def mixed(documents: DataFrame, **parameters) -> DataFrame:
-    """``documents`` with each row as often as the plan takes it; its columns stay as they are."""
-    rows = R.written(plan(documents, **parameters), "plan")
-    numbered = documents.withColumn("_ordinal", F.lit(1))
-    if (rows.agg(F.max("ordinal")).first()[0] or 1) > 1:
-        numbered = documents.withColumn("_size", words(F.col("text"))).withColumn("_ordinal", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy("_size", F.xxhash64("text")))).drop("_size")
-    taken = rows.where("copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("ordinal").alias("_number"), "copies")
+    """``documents`` with each row as often as the plan takes it; its columns have any names and
+    stay as they are."""
+    numbered = identified(documents)
+    rows = R.written(planned(numbered, **parameters).where("copies > 0"), "plan")
+    taken = rows.select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("mark").alias("m"), F.col("ordinal").alias("o"), "copies")
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("mark") == F.col("m")) & (F.col("ordinal") == F.col("o"))
     # texts are always sorted to the plan: a broadcast while the plan is small would be another plan
-    kept = numbered.join(taken.withColumnRenamed("copies", "_copies").hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_ordinal") == F.col("_number")))
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*documents.columns)
+    kept = numbered.join(taken.hint("merge"), same)
+    return kept.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:
