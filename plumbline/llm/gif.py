@@ -26,6 +26,9 @@ from plumbline.llm import _words as W
 
 WIDTH, ROWS, DELAY = 576, 64, 10
 BINS = 16
+#: Largest canvas that is decoded; a larger one is an error of its row, not of the worker.
+PIXELS = 1 << 26
+DAMAGE = (ValueError, struct.error, IndexError)
 
 FRAME = StructType([StructField("delay_cs", IntegerType()), StructField("left", IntegerType()), StructField("top", IntegerType()), StructField("width", IntegerType()), StructField("height", IntegerType()), StructField("histogram", ArrayType(LongType()))])
 ARROW_FRAME = pa.struct([("delay_cs", pa.int32()), ("left", pa.int32()), ("top", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("histogram", pa.list_(pa.int64()))])
@@ -174,10 +177,12 @@ class Shown(NamedTuple):
 
 
 def frames(data: bytes):
-    """The frames of a GIF in order."""
+    """The frames of a GIF in order. A damaged one raises ValueError, struct.error or IndexError."""
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, background, _ = struct.unpack("<HHBBB", data[6:13])
+    if width * height > PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     at = 13
 
     def palette(flags: int, at: int):
@@ -265,23 +270,33 @@ def store(documents: DataFrame, text: str = "text") -> DataFrame:
     return A.extend(documents, text, StructType([StructField("n_bytes", LongType()), StructField("media", BinaryType())]), lambda part: encoded(part, text)).drop(text)
 
 
+def shown(data: bytes, payloads: bool) -> tuple[list[dict], bytes]:
+    """A GIF's frame rows and, where ``payloads``, the red samples of its frames."""
+    rows, samples = [], []
+    for x in frames(data):
+        pixels = x.canvas[x.top : x.top + x.height, x.left : x.left + x.width]
+        rows.append({"delay_cs": x.delay, "left": x.left, "top": x.top, "width": x.width, "height": x.height, "histogram": histogram(x.canvas)})
+        if payloads:
+            samples.append(pixels[:, :, 0].tobytes())
+    return rows, b"".join(samples)
+
+
 def decoded(batches, at: int, payloads: bool, names: list[str]):
-    """Frame columns, and digests of the samples shown where ``payloads``."""
+    """Frame columns, digests of the samples shown where ``payloads``, and what is wrong."""
     for batch in batches:
         for i in range(batch.num_rows):
             data = batch.column(at)[i].as_py()
-            rows, shown = [], []
-            for x in frames(data or b"GIF89a\0\0\0\0\0\0\0"):
-                pixels = x.canvas[x.top : x.top + x.height, x.left : x.left + x.width]
-                rows.append({"delay_cs": x.delay, "left": x.left, "top": x.top, "width": x.width, "height": x.height, "histogram": histogram(x.canvas)})
-                if payloads:
-                    shown.append(pixels[:, :, 0].tobytes())
+            rows, payload, error = None, b"", None
+            try:
+                rows, payload = shown(data, payloads) if data is not None else ([], b"")
+            except DAMAGE as e:
+                error = f"{type(e).__name__}: {e}"
             new = [pa.array([rows], pa.list_(ARROW_FRAME))]
             if payloads:
-                payload = b"".join(shown)
-                new += [pa.array([len(payload)], pa.int64()), pa.array([hashlib.sha256(payload).hexdigest()]), pa.array([zlib.crc32(payload[-32:])], pa.int64())]
+                digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])) if error is None else (None, None, None)
+                new += [pa.array([x], kind) for x, kind in zip(digests, (pa.int64(), pa.string(), pa.int64()), strict=True)]
             kept = batch.slice(i, 1)
-            yield pa.RecordBatch.from_arrays([*kept.columns, *new], names=names)
+            yield pa.RecordBatch.from_arrays([*kept.columns, *new, pa.array([error], pa.string())], names=names)
 
 
 def timed_frames(media: DataFrame, payloads: bool = False) -> DataFrame:
@@ -289,13 +304,15 @@ def timed_frames(media: DataFrame, payloads: bool = False) -> DataFrame:
     and blue) of each frame of the GIF in column media; none for null.
 
     With ``payloads`` also payload_bytes, payload_sha256 and tail_crc32 of the red samples of all
-    frames, one after another. A damaged GIF fails the query.
+    frames, one after another. A damaged GIF has null in all of these, and column error says what
+    is wrong; it is null for all others. Columns of these names are replaced, in any case.
     """
     R.small_batches(media.sparkSession)
     fields = [StructField("frames", ArrayType(FRAME))]
     if payloads:
         fields += [StructField("payload_bytes", LongType()), StructField("payload_sha256", StringType()), StructField("tail_crc32", LongType())]
-    base = media.select(*[c for c in media.columns if c not in {f.name for f in fields}])
+    fields.append(StructField("error", StringType()))
+    base = media.select(*[F.col(f"`{c}`") for c in media.columns if c.lower() not in {f.name for f in fields}])
     schema = StructType(base.schema.fields + fields)
     at = base.columns.index("media")
     return base.mapInArrow(lambda batches: decoded(batches, at, payloads, schema.fieldNames()), schema)
