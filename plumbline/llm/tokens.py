@@ -14,6 +14,7 @@ are encoded once and looked up after that. Pieces are known by a 64-bit hash.
 from __future__ import annotations
 
 import itertools
+import json
 import sys
 import types
 import zlib
@@ -143,6 +144,35 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+def cuts_at_spaces(definition: str) -> bool:
+    """Whether the definition is one whose pre-tokens the encoder knows: byte-level letters, split by
+    that pre-tokenizer's own pattern, without a space in front, and nothing that changes a text."""
+    known = json.loads(definition)
+    split, model = known.get("pre_tokenizer") or {}, known.get("model") or {}
+    plain = all(known.get(k) is None for k in ("normalizer", "truncation", "padding", "post_processor"))
+    bytes_ = split.get("type") == "ByteLevel" and split.get("use_regex") is True and split.get("add_prefix_space") is False
+    parts = ("dropout", "continuing_subword_prefix", "end_of_word_suffix")
+    return plain and bytes_ and model.get("type") == "BPE" and all(not model.get(k) for k in parts)
+
+
+class WholeEncoder:
+    """Any other tokenizer: whole texts go to the library, a bounded part at a time."""
+
+    def __init__(self, definition: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(definition)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = data.tobytes()
+        found = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], add_special_tokens=False)
+        sizes = np.array([len(e.ids) for e in found], np.int64)
+        return np.fromiter(itertools.chain.from_iterable(e.ids for e in found), np.uint32, int(sizes.sum())), sizes
+
+
 class Encoder:
     """A byte-level BPE tokenizer that remembers pieces."""
 
@@ -246,7 +276,7 @@ def encoder(definition: str) -> Encoder:
     home = sys.modules.setdefault("plumbline_worker", types.ModuleType("plumbline_worker"))
     kept = home.__dict__.get("encoder")
     if kept is None or kept[0] != hash(definition):
-        kept = home.__dict__["encoder"] = hash(definition), Encoder(definition)
+        kept = home.__dict__["encoder"] = hash(definition), (Encoder if cuts_at_spaces(definition) else WholeEncoder)(definition)
     return kept[1]
 
 
@@ -289,7 +319,8 @@ def segments(definition, end: int, limit: int):
 def write(documents: DataFrame, tokenizer: str, path: str | None = None, end: int = 0, limit: int = SEGMENT) -> DataFrame:
     """The token files of ``documents`` (doc_id, text) in ascending doc_id order.
 
-    ``tokenizer`` is a byte-level BPE definition that the driver reads. Files go to ``path`` or to
+    ``tokenizer`` is a tokenizer's definition that the driver reads; one that isn't plain byte-level
+    BPE is applied to whole texts, without remembered pieces. Files go to ``path`` or to
     the shared folder. Each document's ids are followed by ``end``. A null or empty text has that
     id alone; a row without doc_id comes first; repeated rows are all written, equal ids in order
     of text. Other columns are ignored. An empty table has no segments.
