@@ -22,6 +22,8 @@ from plumbline.llm import _runtime as R
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = "struct<turn:bigint,role:string,text:string>"
+Field = Callable[[str], Column]
+Turns = Callable[[Field], Column]
 
 
 # layouts
@@ -40,30 +42,46 @@ def fingerprint(names: list[str]) -> str:
     return hashlib.sha256("\n".join(sorted(names)).encode()).hexdigest()[:16]
 
 
-def turn(at: int, role: str, text: str) -> Column:
-    return F.struct(F.lit(at).cast("long").alias("turn"), F.lit(role).alias("role"), F.col(text).cast("string").alias("text"))
+def turn(at: int, role: str, text: Column) -> Column:
+    return F.struct(F.lit(at).cast("long").alias("turn"), F.lit(role).alias("role"), text.cast("string").alias("text"))
 
 
-def listed(items: str, role: str, text: str) -> Column:
-    """Turns of an array of messages, in its order."""
-    return F.transform(items, lambda x, i: F.struct(i.cast("long").alias("turn"), x[role].cast("string").alias("role"), x[text].cast("string").alias("text")))
+def asked(question: str, answer: str) -> Turns:
+    return lambda field: F.array(turn(0, "user", field(question)), turn(1, "assistant", field(answer)))
 
 
-#: Layout name -> (field paths, DDL of a JSON record, canonical turns of a record).
-LAYOUTS: dict[str, tuple[list[str], str, Callable[[], Column]]] = {
-    "rows": (["turn", "role", "text"], "turn bigint, role string, text string", lambda: F.array(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")))),
-    "prompt": (["prompt", "response"], "prompt string, response string", lambda: F.array(turn(0, "user", "prompt"), turn(1, "assistant", "response"))),
-    "completion": (["prompt", "completion"], "prompt string, completion string", lambda: F.array(turn(0, "user", "prompt"), turn(1, "assistant", "completion"))),
-    "question": (["question", "answer"], "question string, answer string", lambda: F.array(turn(0, "user", "question"), turn(1, "assistant", "answer"))),
-    "instruction": (["instruction", "output"], "instruction string, output string", lambda: F.array(turn(0, "user", "instruction"), turn(1, "assistant", "output"))),
-    "instruction with input": (
-        ["instruction", "input", "output"], "instruction string, input string, output string",
-        lambda: F.array(F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.concat_ws("\n\n", F.col("instruction"), F.when(F.col("input") != "", F.col("input"))).alias("text")), turn(1, "assistant", "output")),
-    ),
-    "messages": (["messages[].content", "messages[].role"], "messages array<struct<role:string,content:string>>", lambda: listed("messages", "role", "content")),
+def listed(items: str, role: str, text: str, names: dict[str, str] | None = None) -> Turns:
+    """Turns of an array of messages, in its order; ``names`` translates roles."""
+    def called(x: Column) -> Column:
+        out = x.cast("string")
+        for old, new in (names or {}).items():
+            out = F.when(x == old, F.lit(new)).otherwise(out)
+        return out
+
+    return lambda field: F.transform(field(items), lambda x, i: F.struct(i.cast("long").alias("turn"), called(x[role]).alias("role"), x[text].cast("string").alias("text")))
+
+
+def one_row(field: Field) -> Column:
+    return F.array(F.struct(field("turn").cast("long").alias("turn"), field("role").cast("string").alias("role"), field("text").cast("string").alias("text")))
+
+
+def with_input(field: Field) -> Column:
+    text = F.concat_ws("\n\n", field("instruction"), F.when(field("input") != "", field("input")))
+    return F.array(turn(0, "user", text), turn(1, "assistant", field("output")))
+
+
+#: Layout name -> (field paths, DDL of a JSON record, canonical turns of a record's fields).
+LAYOUTS: dict[str, tuple[list[str], str, Turns]] = {
+    "rows": (["turn", "role", "text"], "turn bigint, role string, text string", one_row),
+    "prompt": (["prompt", "response"], "prompt string, response string", asked("prompt", "response")),
+    "completion": (["prompt", "completion"], "prompt string, completion string", asked("prompt", "completion")),
+    "question": (["question", "answer"], "question string, answer string", asked("question", "answer")),
+    "instruction": (["instruction", "output"], "instruction string, output string", asked("instruction", "output")),
+    "instruction with input": (["instruction", "input", "output"], "instruction string, input string, output string", with_input),
+    "messages": (["messages[].content", "messages[].role"], "messages array<struct<role:string,content:string>>", listed("messages", "role", "content")),
     "exchanges": (
         ["conversations[].from", "conversations[].value"], "conversations array<struct<`from`:string,value:string>>",
-        lambda: F.transform("conversations", lambda x, i: F.struct(i.cast("long").alias("turn"), F.when(x["from"] == "human", "user").when(x["from"] == "gpt", "assistant").otherwise(x["from"]).alias("role"), x["value"].alias("text"))),
+        listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"}),
     ),
 }
 BY_FINGERPRINT = {fingerprint(names): name for name, (names, _, _) in LAYOUTS.items()}
@@ -78,55 +96,52 @@ def table_turns(records: DataFrame, key: str = "conv_id") -> DataFrame:
     name = BY_FINGERPRINT.get(fingerprint(names))
     if name is None:
         raise ValueError(f"no mapping for the field paths {names}")
-    turns = LAYOUTS[name][2]()
+    turns = LAYOUTS[name][2](F.col)
     return records.select(F.col(key).alias("conv_id"), F.explode(turns.cast(f"array<{TURN}>")).alias("t")).select("conv_id", "t.*")
 
 
 def json_paths(record: Column) -> Column:
-    """The sorted field paths of a JSON object, two levels deep, as ``paths`` writes them."""
+    """The sorted field paths of a JSON object, two levels deep, as ``paths`` writes them. Those of
+    an array are the paths of all its elements together; an empty one has none below it."""
     def of(key: Column) -> Column:
         value = F.call_function("get_json_object", record, F.concat(F.lit("$['"), key, F.lit("']")))
-        inner = F.json_object_keys(F.get_json_object(value, "$[0]"))
+        inner = F.array_distinct(F.flatten(F.transform(F.from_json(value, "array<string>"), lambda x: F.coalesce(F.json_object_keys(x), F.array(F.lit(""))))))
         return F.when(F.startswith(F.ltrim(value), F.lit("[")), F.transform(inner, lambda k: F.concat(key, F.lit("[]."), k))).otherwise(F.array(key))
 
     return F.array_sort(F.flatten(F.transform(F.json_object_keys(record), of)))
 
 
+def json_layouts(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
+    """(conv_id, record, layout): the layout that each JSON object's fingerprint selects, null where
+    none does or the record is null or no object."""
+    mark = F.substring(F.sha2(F.array_join(json_paths(F.col(record)), "\n"), 256), 1, 16)
+    rows = records.select(F.col(key).alias("conv_id"), F.col(record).alias("record"), mark.alias("mark"))
+    layout = F.lit(None).cast("string")
+    for known, name in BY_FINGERPRINT.items():
+        layout = F.when(F.col("mark") == known, F.lit(name)).otherwise(layout)
+    return rows.select("conv_id", "record", layout.alias("layout"))
+
+
+def unmapped(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
+    """(conv_id, record, paths) of the JSON records that ``json_turns`` has no turns of."""
+    rows = json_layouts(records, key, record).where("layout is null")
+    return rows.select("conv_id", "record", json_paths(F.col("record")).alias("paths"))
+
+
 def json_turns(records: DataFrame, key: str = "conv_id", record: str = "record") -> DataFrame:
     """(conv_id, turn, role, text) rows of JSON objects, each mapped by its own fingerprint.
 
-    A record that is null, not an object or of an unknown layout has no turns.
+    A record that is null, not an object or of an unknown layout has no turns; ``unmapped`` lists
+    these. An array of messages is of a layout if all of its messages are.
     """
-    mark = F.substring(F.sha2(F.array_join(json_paths(F.col(record)), "\n"), 256), 1, 16)
-    rows = records.select(F.col(key).alias("conv_id"), F.col(record).alias("record"), mark.alias("mark"))
+    rows = json_layouts(records, key, record)
     out = F.lit(None).cast(f"array<{TURN}>")
-    for name, (names, ddl, turns) in LAYOUTS.items():
-        column = f"r{fingerprint(names)}"
-        rows = rows.withColumn(column, F.when(F.col("mark") == fingerprint(names), F.from_json("record", ddl)))
-    for name, (names, ddl, _) in LAYOUTS.items():
-        rows_of = F.col(f"r{fingerprint(names)}")
-        out = F.when(F.col("mark") == fingerprint(names), nested(name, rows_of).cast(f"array<{TURN}>")).otherwise(out)
+    for i, (name, (_, ddl, turns)) in enumerate(LAYOUTS.items()):
+        rows = rows.withColumn(f"r{i}", F.when(F.col("layout") == name, F.from_json("record", ddl)))
+        out = F.when(F.col("layout") == name, turns(lambda field, i=i: F.col(f"r{i}")[field]).cast(f"array<{TURN}>")).otherwise(out)
     return rows.select("conv_id", F.explode(out).alias("t")).select("conv_id", "t.*")
 
 
-def nested(name: str, record: Column) -> Column:
-    """The turns of a layout whose fields are in the struct ``record``."""
-    def one(at: int, role: str, text: Column) -> Column:
-        return F.struct(F.lit(at).cast("long").alias("turn"), F.lit(role).alias("role"), text.alias("text"))
-
-    if name == "rows":
-        return F.array(F.struct(record["turn"].alias("turn"), record["role"].alias("role"), record["text"].alias("text")))
-    if name == "messages":
-        return F.transform(record["messages"], lambda x, i: F.struct(i.cast("long").alias("turn"), x["role"].alias("role"), x["content"].alias("text")))
-    if name == "exchanges":
-        return F.transform(record["conversations"], lambda x, i: F.struct(i.cast("long").alias("turn"), F.when(x["from"] == "human", "user").when(x["from"] == "gpt", "assistant").otherwise(x["from"]).alias("role"), x["value"].alias("text")))
-    if name == "instruction with input":
-        text = F.concat_ws("\n\n", record["instruction"], F.when(record["input"] != "", record["input"]))
-        return F.array(one(0, "user", text), one(1, "assistant", record["output"]))
-    asked, answered = LAYOUTS[name][0]
-    return F.array(one(0, "user", record[asked]), one(1, "assistant", record[answered]))
-
-
 # formatting
 
 
