@@ -61,10 +61,10 @@ def near_copies(seed=0):
     return [(int(i), t) for i, t in zip(rng.permutation(len(rows)), rows, strict=True)]
 
 
-@pytest.mark.parametrize(("small", "block"), [(24, 60_000), (1, 300)])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block):
-    monkeypatch.setattr(neardup, "SMALL", small)
-    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", block)
+@pytest.mark.parametrize(("shingles", "members"), [(60_000, 2_000), (300, 3)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, shingles, members):
+    monkeypatch.setattr(neardup, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(neardup, "BLOCK_MEMBERS", members)
     rows = near_copies()
     got = sorted(map(tuple, neardup.near_duplicates(docs(spark, rows), 80, 4).collect()))
     assert got == sorted(brute(rows, 80, 4))
@@ -77,6 +77,32 @@ def test_near_duplicates_edges(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in got) == [(-1, 0, -1, True), (-1, 2, 1, False), (1, 2, 1, True), (1, 2, 1, True), (3, 2, 1, False), (3, 3, 3, True)]
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    """A chain of two near copies whose middle has no id, and a text in the place of a bucket's pivot."""
+    base = [f"w{i}" for i in range(60)]
+    middle, end = [*base[:57], "x", "y", "z"], [*base[3:57], "x", "y", "z", "u", "v", "t"]
+    rows = [(7, " ".join(base)), (None, " ".join(middle)), (9, " ".join(end)), (None, "q r s t u v"), (4, "other words of another text here")]
+    assert sorted(neardup.near_duplicates(docs(spark, rows), 80, 4).collect(), key=str) == sorted(brute(rows, 80, 4), key=str)
+    assert brute(rows, 80, 4)[2][2] == 7
+    kept = neardup.deduplicated(docs(spark, rows).withColumnsRenamed({"source": "_gone"}).withColumns({"n": F.lit(1), "_twice": F.lit(2)}), 80, 4)
+    assert kept.columns == ["doc_id", "text", "_gone", "n_shingles", "n", "_twice"]
+    assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 4, 7]
+
+
+def test_links_of_blocks_without_a_pair_list():
+    """Many near copies, no two of them linked: each pair is compared, in rows of numbers."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(1, 1 << 62, 30, dtype=np.uint64)
+    found = [np.unique(np.concatenate((pool[:14], rng.integers(1, 1 << 62, 6, dtype=np.uint64)))) for _ in range(300)]
+    kind = neardup.pa.list_(neardup.pa.struct([("node", neardup.pa.int64()), ("component", neardup.pa.int64()), ("sketch", neardup.pa.list_(neardup.pa.int64())), ("members", neardup.pa.binary())]))
+    sketch = neardup.registers(found).astype("<u2").view("<i8")
+    cell = [{"node": i, "component": i, "sketch": sketch[i].tolist(), "members": x.astype("<u8").tobytes()} for i, x in enumerate(found)]
+    cell[7], cell[250] = {**cell[3], "node": 7, "component": 7}, {**cell[9], "node": 250, "component": 250}
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([cell], kind), neardup.pa.array([cell], kind)], names=["left", "right"])
+    links = next(neardup.block_links(80)([batch])).to_pylist()
+    assert {frozenset(x.values()) for x in links} == {frozenset((3, 7)), frozenset((9, 250))}
+
+
 def test_deduplicated(spark):
     rows = [(2, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (5, "quite another text than these"), (6, None)]
     got = neardup.deduplicated(docs(spark, rows))
@@ -134,11 +160,23 @@ def test_line_dedup_equals_brute_force(spark, least):
     pool = ["a b c", "d", "e f", "g h i j k l m n o p q", "", "  ", "r s t u v", "w"]
     rows = [(int(i), "\n".join(rng.choice(pool, int(rng.integers(1, 12))))) for i in rng.permutation(25)]
     rows += [(None, "a b c\nd"), (3, rows[3][1]), (3, rows[3][1]), (90, None), (91, ""), (92, "x " * 4000 + "\n" + "a b c\nd\ne f")]
-    got = lines.deduplicate_lines(docs(spark, rows).withColumn("copy", F.lit(1)), least)
+    got = lines.deduplicate_lines(docs(spark, rows).withColumns({c: F.lit(1) for c in ("copy", "_doc", "row", "known", "base", "p")}), least)
     assert got.columns[:4] == ["doc_id", "text", "source", "n_shingles"]
     assert key([(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in got.collect()]) == key(brute_lines(rows, least))
 
 
+def test_long_runs_and_hot_lines(spark, monkeypatch):
+    """Runs of many lengths, and a line so common that its rank is split over several keys."""
+    rng = np.random.default_rng(8)
+    pool = [f"line {i}" for i in range(40)] + ["x"]
+    long = [str(s) for s in rng.choice(pool, 70)]
+    rows = [(i, "\n".join(long[int(rng.integers(0, 40)) : int(rng.integers(41, 71))] + ["x"] * int(rng.integers(0, 9)))) for i in range(14)]
+    rows += [(50, "\n".join(["x"] * 150)), (51, "\n".join(["x"] * 90 + long)), (None, "\n".join(["x"] * 20))]
+    monkeypatch.setattr(lines, "SHARE", 5)
+    got = lines.deduplicate_lines(docs(spark, rows), 10)
+    assert key([(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in got.collect()]) == key(brute_lines(rows, 10))
+
+
 def test_line_dedup_empty(spark):
     assert lines.deduplicate_lines(docs(spark, [])).count() == 0
     assert lines.deduplicate_lines(docs(spark, [(1, "one line of its own, not seen again here at all")])).first().n_deleted == 0
