@@ -21,39 +21,37 @@ def distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def seeds(x: np.ndarray, k: int, metric: str, rng: np.random.Generator) -> np.ndarray:
-    """Distinct points, each drawn in proportion to its distance from those before."""
-    chosen = [int(rng.integers(len(x)))]
-    near = np.clip(distances(x, x[chosen], metric)[:, 0], 0, None)
+def spread(d: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k different points, the first at random, each further one with a chance in proportion to its
+    distance from the nearest before; where all others are at none, the first that is left."""
+    chosen = [int(rng.integers(len(d)))]
+    near = d[chosen[0]].copy()
     while len(chosen) < k:
-        total = near.sum()
-        chosen.append(int(rng.choice(len(x), p=near / total) if total > 0 else rng.integers(len(x))))
-        near = np.minimum(near, np.clip(distances(x, x[chosen[-1:]], metric)[:, 0], 0, None))
-    return np.unique(chosen)
-
-
-def filled(chosen: np.ndarray, n: int, k: int) -> np.ndarray:
-    """``chosen`` and the first other points, up to k."""
-    return np.concatenate((chosen, np.setdiff1d(np.arange(n), chosen)[: k - len(chosen)])) if len(chosen) < k else chosen
+        near[chosen] = 0
+        sums = np.cumsum(near)
+        free = np.setdiff1d(np.arange(len(d)), chosen)[0]
+        chosen.append(int(np.searchsorted(sums, rng.uniform(0, sums[-1]), "right")) if sums[-1] > 0 else int(free))
+        near = np.minimum(near, d[chosen[-1]])
+    return np.sort(chosen)
 
 
 def cluster(x: np.ndarray, k: int, metric: str = "cosine", rounds: int = 20, seed: int = 42) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Medoids' positions, each point's medoid and its distance."""
-    n, k = len(x), min(k, len(x))
-    now, before = filled(seeds(x, k, metric, np.random.default_rng(seed)), n, k), None
+    """Medoids' positions, each point's medoid and its distance: of a local optimum of the sum of
+    distances, or of what ``rounds`` reach. Distances are worked out once; a group is capped."""
+    d = np.maximum(distances(x, x, metric), 0)
+    np.fill_diagonal(d, 0)
+    now = spread(d, min(k, len(x)), np.random.default_rng(seed))
     for _ in range(rounds):
-        d = distances(x, x[now], metric)
-        own = d.argmin(1)
-        new = np.empty(k, np.int64)
-        for c in range(k):
-            members = np.flatnonzero(own == c)
-            new[c] = members[distances(x[members], x[members], metric).sum(1).argmin()] if len(members) else d.min(1).argmax()
-        new = filled(np.unique(new), n, k)
-        if before is not None and np.array_equal(new, before):
+        own = d[:, now].argmin(1)
+        own[now] = np.arange(len(now))  # a medoid stays with itself where another is at no distance
+        members = [np.flatnonzero(own == c) for c in range(len(now))]
+        new = np.sort([m[d[np.ix_(m, m)].sum(1).argmin()] for m in members])
+        if np.array_equal(new, now):
             break
-        before, now = now, new
-    d = distances(x, x[now], metric)
-    return now, d.argmin(1), d.min(1)
+        now = new
+    own = d[:, now].argmin(1)
+    own[now] = np.arange(len(now))
+    return now, own, d[np.arange(len(x)), now[own]]
 
 
 def k_medoids(rows: DataFrame, k: int, metric: str = "cosine", rounds: int = 20, seed: int = 42, least: int = 50) -> DataFrame:

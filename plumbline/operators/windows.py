@@ -31,20 +31,27 @@ def by_count(rows: DataFrame, size: int, hop: int) -> DataFrame:
     return out.select("run_id", "step", F.concat(F.col("step") * hop, F.lit("-"), F.col("step") * hop + size).alias("window"), "pos", F.lit(size).cast("long").alias("n"), "feat_idx")
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``placed`` rows of windows that ``by`` orders within a run and ``name`` names: windows are
+    numbered among themselves, a row each, and never by sorting a whole run."""
+    found = rows.select("run_id", by, name).distinct()
+    steps = found.select("run_id", by, F.col(name).alias("window"), (F.row_number().over(Window.partitionBy("run_id").orderBy(by)).cast("long") - 1).alias("step"))
+    return placed(rows.join(steps, ["run_id", by]).select("run_id", "step", "window", "feat_idx"))
+
+
 def by_depth(rows: DataFrame, size: float) -> DataFrame:
     """Bins of ``size`` from the run's least depth, named by their middle; null depths are out."""
-    known = rows.where("depth is not null").withColumn("_low", F.min("depth").over(Window.partitionBy("run_id")))
-    known = known.withColumn("_bin", F.floor((F.col("depth") - F.col("_low")) / size)).withColumn("window", F.round(F.col("_low") + (F.col("_bin") + 0.5) * size, 6).cast("string"))
-    step = F.dense_rank().over(Window.partitionBy("run_id").orderBy("_bin")).cast("long") - 1
-    return placed(known.select("run_id", step.alias("step"), "window", "feat_idx"))
+    known = rows.where("depth is not null")
+    known = known.join(known.groupBy("run_id").agg(F.min("depth").alias("_low")), "run_id")
+    known = known.withColumn("_bin", F.floor((F.col("depth") - F.col("_low")) / size))
+    return numbered(known.withColumn("_name", F.round(F.col("_low") + (F.col("_bin") + 0.5) * size, 6).cast("string")), "_bin", "_name")
 
 
 def by_profile(rows: DataFrame) -> DataFrame:
     """A window per profile in order of first occurrence; rows without profile are one window."""
-    first = F.min("feat_idx").over(Window.partitionBy("run_id", "profile"))
-    known = rows.withColumn("_first", first)
-    step = F.dense_rank().over(Window.partitionBy("run_id").orderBy("_first")).cast("long") - 1
-    return placed(known.select("run_id", step.alias("step"), F.coalesce("profile", F.lit("None")).alias("window"), "feat_idx"))
+    known = rows.withColumn("_none", F.col("profile").isNull()).withColumn("_name", F.coalesce("profile", F.lit("None")))
+    first = known.groupBy("run_id", "_none", "_name").agg(F.min("feat_idx").alias("_first"))
+    return numbered(known.join(first, ["run_id", "_none", "_name"]), "_first", "_name")
 
 
 def sampled(windows: DataFrame, k: int) -> DataFrame:

@@ -15,6 +15,7 @@ from plumbline.operators import drift as drift_ops
 from plumbline.operators import graph, knn, medoids, pca, sampling, stability, windows
 from plumbline.operators.tsne import tsne as tsne_map
 from plumbline.scratch import written
+from plumbline.sources import images
 
 
 def projected(rows: DataFrame, sample: DataFrame, pca_dim: int) -> DataFrame:
@@ -245,3 +246,21 @@ def contact_sheet(items: DataFrame, key: list[str], order: list, per_row: int =
         "row": row, "column": column, "x": margin + column * (width + margin), "y": title + margin + row * tall,
         "sheet_width": F.lit(margin + per_row * (width + margin)).cast("long"), "sheet_height": title + margin + F.ceil(F.col("n") / per_row) * tall,
     })
+
+
+def prototype_sheets(protos: DataFrame, index: DataFrame, **sizes: int) -> DataFrame:
+    """The contact sheet of each run and group of prototypes: place, caption and file of each."""
+    out = contact_sheet(protos, ["run_id", "group"], ["medoid_rank"], **sizes)
+    words = F.concat(F.lit("#"), F.col("medoid_rank").cast("string"), F.lit("  "), text.basename(F.col("medoid_name")))
+    out = out.withColumn("caption", text.shortened(words, 28, 25)).withColumnRenamed("medoid_name", "image_name")
+    return images.resolved_by_run(out, index).select("run_id", "group", "image_name", "path", "caption", "row", "column", "x", "y", "sheet_width", "sheet_height")
+
+
+def novelty_sheets(inbox: DataFrame, top_n: int = 200, **sizes: int) -> DataFrame:
+    """The contact sheet of each run's inbox: the ``top_n`` of the highest score."""
+    rank = F.row_number().over(Window.partitionBy("run_id").orderBy(F.round("score", 9).desc(), "feat_idx"))
+    top = inbox.withColumn("_rank", rank).where(F.col("_rank") <= top_n).drop("_rank")
+    out = contact_sheet(top, ["run_id"], [F.round("score", 9).desc(), "feat_idx"], caption=28, **sizes)
+    words = F.format_string("#%d s=%.2f %s (%.2f-%.2f)", F.col("position") + 1, "score", "pred1_label", "pred1_conf", "pred2_conf")
+    path = ["abs_path"] if "abs_path" in inbox.columns else []
+    return out.select("run_id", "image_name", *path, text.shortened(words, 40, 37).alias("caption"), "row", "column", "x", "y", "sheet_width", "sheet_height")

@@ -353,9 +353,9 @@ kp AS (
 """
 
 
-@query("SELECT run_id, CAST(i AS INT) AS \"index\", type, round(y, 6) AS value, 'count' AS mode FROM kp WHERE kept", WIN + MMD.format(w="cw") + CHANGES)
+@query("SELECT run_id, CAST(i AS INT) AS \"index\", type, round(y, 6) AS value, 'count' AS mode FROM kp WHERE kept", WIN.replace("25", "10") + MMD.format(w="cw") + CHANGES)
 def drift_change_points(spark, sf_dir):
-    return rounded(analyses.drift(load(spark, sf_dir), "count", SIZE, HOP, pca_dim=DIM, k_std=0.25, h_std=0.75)["change_points"], "value")
+    return rounded(analyses.drift(load(spark, sf_dir), "count", 10, HOP, pca_dim=DIM, k_std=0.25, h_std=0.75)["change_points"], "value")  # windows that share no rows
 
 
 CUSUM = r"""
@@ -562,13 +562,7 @@ def montage_manifest(spark, sf_dir):
     return out.select("run_id", "group", "image_name", "caption", "row", "column", "x", "y", "sheet_width", "sheet_height")
 
 
-def novelty_sheet(top: DataFrame) -> DataFrame:
-    out = analyses.contact_sheet(top, ["run_id"], [F.round("score", 9).desc(), "feat_idx"], caption=28)
-    words = F.format_string("#%d s=%.2f %s (%.2f-%.2f)", F.col("position") + 1, "score", "pred1_label", "pred1_conf", "pred2_conf")
-    return out.select("run_id", "image_name", text.shortened(words, 40, 37).alias("caption"), "row", "column", "x", "y", "sheet_width", "sheet_height")
-
-
 @query("SELECT run_id, image_name, caption, " + PLACE.format(tall=296) + """ FROM (SELECT run_id, image_name, place - 1 AS p, count(*) OVER (PARTITION BY run_id) AS n,
 printf('#%d s=%.2f %s (%.2f-%.2f)', place, score, label, pred1_conf, pred2_conf) AS caption FROM top)""", NOVEL.format(cap=20000, knn="kn.knn_mean", w1=0.4, w2=0.4, w3=0.2))
 def novelty_manifest(spark, sf_dir):
-    return novelty_sheet(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM))
+    return analyses.novelty_sheets(analyses.novelty(load(spark, sf_dir), top_n=20, pca_dim=DIM), 20)

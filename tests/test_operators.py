@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.bank import align, fixture, require_unique
+from plumbline.bank import align, fixture, unique
 from plumbline.functions import text, vec
 from plumbline.operators import drift, graph, knn, medoids, pca, sampling, stability, tsne, windows
 from plumbline.plans import analyses
@@ -214,8 +214,8 @@ def test_constant_correlation(spark):
 
 def test_alignment(spark, small):
     b = fixture(spark, small)
-    with pytest.raises(ValueError, match="repeated key"):
-        require_unique(b.predictions.union(b.predictions), "run_id", "image_name")
+    with pytest.raises(Exception, match="repeated key"):
+        unique(b.predictions.union(b.predictions), "run_id", "image_name").collect()
     out = align(b.features, b.predictions)
     assert out.count() == b.features.count()
     assert out.where("pred1_label = 'unknown' and pred1_conf = 0").count() == 18

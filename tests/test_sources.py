@@ -110,9 +110,44 @@ def test_command_line(spark, parent, tmp_path):
     cli.main(["proto_stability", "--parent", str(parent), "--out_dir", str(out)])
     rows = spark.read.option("header", True).csv(f"{out}/proto_stability/pairs").collect()
     assert {(r["class"], r["run_i"], r["run_j"]) for r in rows} == {("0", "r0", "r1"), ("1", "r0", "r1")}
+    cover = spark.read.option("header", True).csv(f"{out}/prototypes/coverage")
+    assert {"medoid_0_count", "medoid_1_count"} <= set(cover.columns)
+    assert artifacts.read_coverage(spark, f"{out}/prototypes/coverage").first().medoid_counts is not None
     assert json.loads(next((out / "prototypes" / "prototypes").glob("part-*")).read_text().splitlines()[0])["run_id"] in ("r0", "r1")
 
 
+def test_command_line_of_all_analyses(spark, parent, tmp_path):
+    """Each command writes its artifacts, under the names of their columns; images are found."""
+    out, acq = str(tmp_path / "all"), tmp_path / "acq"
+    for i in range(8):
+        (acq / f"I{i}.bmp").write_bytes(b"x")
+    run = lambda *a: cli.main([a[0], "--parent", str(parent), "--out_dir", out, *a[1:]])
+    read = lambda p: spark.read.option("header", True).csv(f"{out}/{p}")
+    run("prototypes", "--k", "2", "--min_points_for_group", "2")
+    run("novelty", "--top_n", "3")
+    inbox = read("novelty/novelty").collect()
+    assert len(inbox) == 6
+    assert all(r.abs_path.endswith("/I" + r.image_name[1:]) for r in inbox)
+    run("novelty_montage", "--top_n", "2", "--thumbs_per_row", "1")
+    assert sorted((r.run_id, r.row) for r in read("novelty_montage/sheets").collect()) == [("r0", "0"), ("r0", "1"), ("r1", "0"), ("r1", "1")]
+    run("montage", "--thumb_w", "64")
+    sheets = read("montage/sheets").collect()
+    assert len(sheets) == 8
+    assert all(r.caption.startswith("#") and r.path.endswith("/I" + r.image_name[1:]) for r in sheets)
+    run("class_graph", "--k", "3")
+    assert {"run_id", "label", "0", "1"} == set(read("class_graph/confusion").columns)
+    assert "node_idx" in read("class_graph/nodes").columns
+    run("class_graph_global", "--k", "3")
+    run("purity", "--ks", "2")
+    assert "purity@2" in read("purity/points").columns
+    run("tsne", "--perplexity", "2")
+    assert {"tsne_x", "tsne_y"} <= set(read("tsne/tsne").columns)
+    run("geometry")
+    run("drift", "--window_size", "3", "--hop", "1")
+    run("proto_global_stability")
+    assert read("geometry/geometry").count() == 2
+
+
 def test_stream_monitor(spark, tmp_path):
     values = [0.0, 0.1, 5.0, 5.0, -9.0, math.nan, 0.0]
     source = tmp_path / "in"
