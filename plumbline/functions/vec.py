@@ -52,10 +52,6 @@ def cosine_distance(a: Column, b: Column, normalised: bool = False) -> Column:
     return F.lit(1.0) - clip(product, -1.0, 1.0)
 
 
-def rbf(d2: Column, gamma: Column | float) -> Column:
-    return F.exp(-(gamma if isinstance(gamma, Column) else F.lit(gamma)) * d2)
-
-
 def metric(name: str):
     """The distance of two columns by name; ``euclidean`` is the squared length."""
     known = {"cosine": cosine_distance, "euclidean": squared_l2}

@@ -6,7 +6,7 @@ Rows have run_id, class, medoid_rank and v, a unit vector.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import vec
@@ -47,6 +47,11 @@ def pairs(protos: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     )
 
 
+def runs_of(found: DataFrame) -> DataFrame:
+    """(class, run_id) of all runs that take part in a class's pairs."""
+    return found.select("class", F.col("run_i").alias("run_id")).union(found.select("class", "run_j")).distinct()
+
+
 def class_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("class").agg(
         F.count("*").alias("n_pairs"), F.avg("centroid_dist").alias("mean_centroid_dist"), F.median("centroid_dist").alias("median_centroid_dist"),
@@ -85,9 +90,3 @@ def global_summary(protos: DataFrame, min_per_class: int = 3, min_runs: int = 2)
 
 def ordered(summary: DataFrame) -> DataFrame:
     return summary.orderBy(F.col("silhouette_by_run").asc_nulls_last(), F.col("mean_to_centroid").asc_nulls_last(), "class")
-
-
-def first_prototypes(rows: DataFrame, k: int) -> DataFrame:
-    """The first k rows of each run and class in capture order, as prototypes."""
-    w = Window.partitionBy("run_id", "class").orderBy("feat_idx")
-    return rows.withColumn("medoid_rank", F.row_number().over(w).cast("long") - 1).where(F.col("medoid_rank") < k)

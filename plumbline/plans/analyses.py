@@ -85,7 +85,10 @@ def purity(bank: Bank, sample_per_run: int = 2000, pca_dim: int = 50, ks: tuple[
     points = written(points, "purity")
     columns = [*[f"purity_{k}" for k in ks], "local_density", "centroid_dist"]
     per_run = points.groupBy("run_id").agg(*[f(c).alias(f"{c}_{s}") for c in columns for s, f in (("mean", F.avg), ("std", F.stddev_samp))])
-    return {"points": points, "per_run": per_run, "correlations": correlations(points)}
+    found = correlations(points)
+    r = found.first()  # one row, the same for all runs
+    of_all = {f"corr_conf_{what}_{c}": value for what, x in (("local_density", r["density_r"]), ("centroid_dist", r["centroid_r"])) for c, value in (("r", x), ("p", pearson_p(x, r["n"])))}
+    return {"points": points, "per_run": per_run.withColumns({c: F.lit(v).cast("double") for c, v in of_all.items()}), "correlations": found}
 
 
 def correlation(x: str, y: Column | str) -> Column:
@@ -219,7 +222,7 @@ def prototype_stability(bank: Bank, protos: DataFrame, coverage: DataFrame | Non
     """Distances of a class's prototypes between runs, and their class summary."""
     counts = coverage.select("run_id", F.col("group").alias("class"), F.col("medoid_counts").alias("counts")) if coverage is not None else None
     found = stability.pairs(prototype_vectors(bank, protos, pca_dim), counts)
-    return {"pairs": found, "class_summary": stability.class_summary(found)}
+    return {"pairs": found, "class_summary": stability.class_summary(found), "runs": stability.runs_of(found)}
 
 
 def prototype_global_stability(bank: Bank, protos: DataFrame, pca_dim: int = 50, min_per_class: int = 3, min_runs_for_sil: int = 2) -> DataFrame:

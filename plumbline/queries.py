@@ -180,9 +180,9 @@ def purity_points(spark, sf_dir):
     return rounded(purity(spark, sf_dir)["points"], *PURE)
 
 
-@query("SELECT run_id, " + ", ".join(f"round({f}({c}), 6) AS {c}_{s}" for c in PURE[1:] for f, s in (("avg", "mean"), ("stddev_samp", "std"))) + " FROM pt GROUP BY run_id", PURITY)
+@query("SELECT run_id, " + ", ".join(f"round({f}({c}), 6) AS {c}_{s}" for c in PURE[1:] for f, s in (("avg", "mean"), ("stddev_samp", "std"))) + ", (SELECT round(corr(pred1_conf, local_density), 6) FROM pt) AS corr_conf_local_density_r, (SELECT round(corr(pred1_conf, -centroid_dist), 6) FROM pt) AS corr_conf_centroid_dist_r FROM pt GROUP BY run_id", PURITY)
 def purity_per_run(spark, sf_dir):
-    out = purity(spark, sf_dir)["per_run"]
+    out = purity(spark, sf_dir)["per_run"].drop("corr_conf_local_density_p", "corr_conf_centroid_dist_p")  # outside SQL: conf_geometry_p_values
     return rounded(out, *[c for c in out.columns if c != "run_id"])
 
 
@@ -490,6 +490,11 @@ def proto_pairs(spark, sf_dir):
     return rounded(analyses.prototype_stability(*stable(spark, sf_dir), pca_dim=DIM)["pairs"], *PAIRS)
 
 
+@query("SELECT class, run_i AS run_id FROM pp UNION SELECT class, run_j FROM pp", STABLE)
+def proto_runs(spark, sf_dir):
+    return analyses.prototype_stability(*stable(spark, sf_dir), pca_dim=DIM)["runs"]
+
+
 @query("""SELECT class, count(*) AS n_pairs, round(avg(centroid_dist), 6) AS mean_centroid_dist, round(median(centroid_dist), 6) AS median_centroid_dist, round(avg(mean_hausdorff), 6) AS mean_hausdorff,
 round(median(mean_hausdorff), 6) AS median_hausdorff, round(avg(js_divergence), 6) AS mean_js FROM pp GROUP BY class""", STABLE)
 def proto_class_summary(spark, sf_dir):
