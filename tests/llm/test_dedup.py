@@ -172,7 +172,7 @@ def test_long_runs_and_hot_lines(spark, monkeypatch):
     long = [str(s) for s in rng.choice(pool, 70)]
     rows = [(i, "\n".join(long[int(rng.integers(0, 40)) : int(rng.integers(41, 71))] + ["x"] * int(rng.integers(0, 9)))) for i in range(14)]
     rows += [(50, "\n".join(["x"] * 150)), (51, "\n".join(["x"] * 90 + long)), (None, "\n".join(["x"] * 20))]
-    monkeypatch.setattr(lines, "SHARE", 5)
+    monkeypatch.setattr(lines.R, "SHARE", 5)
     got = lines.deduplicate_lines(docs(spark, rows), 10)
     assert key([(r.doc_id, r.n_lines, r.n_deleted, r.text) for r in got.collect()]) == key(brute_lines(rows, 10))
 
