@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from plumbline.scratch import path as scratch_path
 from plumbline.scratch import written
 
-__all__ = ["ARROW_ROWS", "scratch_path", "small_batches", "text_of", "written"]
+__all__ = ["ARROW_ROWS", "SHARE", "met", "partitions", "scratch_path", "small_batches", "text_of", "written"]
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch holds few.
 ARROW_ROWS = 256
+#: Least rows of a key that ``met`` splits; keys of less than a partition's share never are.
+SHARE = 1000
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -23,3 +25,22 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
 def text_of(column: Column | str) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def met(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to the distinct ``keys``, of which n counts the rows that have them.
+
+    A key with more than a partition's share of these rows is split into keys of that share, to
+    which ``by`` deals its rows. There are fewer such keys than partitions, so a broadcast of them
+    is small at any size of the input.
+    """
+    parts = partitions(rows)
+    share = F.lit(max(SHARE, -(-(keys.agg(F.sum("n")).first()[0] or 0) // parts)))
+    split = F.ceil(F.col("n") / share)
+    hot = F.broadcast(keys.where(F.col("n") > share).select(*on, split.alias("splits")))
+    dealt = rows.join(hot, on, "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64(by), F.col("splits")), F.lit(0).cast("long"))).drop("splits")
+    return dealt.join(keys.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).drop("n"), [*on, "split"], how).drop("split")

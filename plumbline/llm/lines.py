@@ -27,17 +27,11 @@ from pyspark.sql import functions as F
 from plumbline.llm import _runtime as R
 
 MIN_WORDS = 10
-#: Least rows of a key that is split; keys of less than a partition's share never are.
-SHARE = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A document's place in the order: rows without an id first, then by id, repeated ids by text.
 PLACE = ["known", "doc", "copy"]
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def numbered(documents: DataFrame) -> DataFrame:
     """(known, doc, copy, row) of each row, all of its columns in the struct ``row``.
 
@@ -48,14 +42,14 @@ def numbered(documents: DataFrame) -> DataFrame:
     if not out.groupBy("known", "doc").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
         return out.select("known", "doc", F.lit(0).cast("long").alias("copy"), "row")
     order = ["known", "doc", "row.text"]
-    out = out.repartitionByRange(partitions(out), *order).sortWithinPartitions(*order)
+    out = out.repartitionByRange(R.partitions(out), *order).sortWithinPartitions(*order)
     return R.written(out.select("known", "doc", F.monotonically_increasing_id().alias("copy"), "row"), "numbered")
 
 
 def based(lines: DataFrame) -> DataFrame:
     """(known, doc, copy, base) of each document: its first place in the sequence of all lines."""
     sizes = lines.groupBy(*PLACE).agg((F.max("i") + 2).cast("long").alias("n"))
-    rows = R.written(sizes.repartitionByRange(partitions(lines), *PLACE).withColumn("part", F.spark_partition_id()), "documents")
+    rows = R.written(sizes.repartitionByRange(R.partitions(lines), *PLACE).withColumn("part", F.spark_partition_id()), "documents")
     parts = rows.groupBy("part").agg(F.sum("n").alias("n"))  # a row per partition
     before = F.broadcast(parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")))
     here = F.sum("n").over(Window.partitionBy("part").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
@@ -90,29 +84,14 @@ def places(documents: DataFrame, min_words: int) -> DataFrame:
 
 def ranked(keys: DataFrame, *order: str) -> DataFrame:
     """``keys`` with rank, which rises with ``order``; keys are distinct."""
-    rows = keys.repartitionByRange(partitions(keys), *order).sortWithinPartitions(*order)
+    rows = keys.repartitionByRange(R.partitions(keys), *order).sortWithinPartitions(*order)
     return R.written(rows.withColumn("place", F.monotonically_increasing_id()), "ranks")
 
 
-def met(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """``rows`` joined to the distinct ``keys``, of which n counts the rows that have them.
-
-    A key with more than a partition's share of these rows is split into keys of that share, to
-    which ``by`` deals its rows. There are fewer such keys than partitions, so a broadcast of them
-    is small at any size of the input.
-    """
-    parts = partitions(rows)
-    share = F.lit(max(SHARE, -(-(keys.agg(F.sum("n")).first()[0] or 0) // parts)))
-    split = F.ceil(F.col("n") / share)
-    hot = F.broadcast(keys.where(F.col("n") > share).select(*on, split.alias("splits")))
-    dealt = rows.join(hot, on, "left").withColumn("split", F.coalesce(F.pmod(F.xxhash64(by), F.col("splits")), F.lit(0).cast("long"))).drop("splits")
-    return dealt.join(keys.withColumn("split", F.explode(F.sequence(F.lit(0).cast("long"), split - 1))).drop("n"), [*on, "split"], how).drop("split")
-
-
 def repeated(lines: DataFrame, bases: DataFrame) -> DataFrame:
     """Lines that occur twice or more: p (their place), base, rank and the columns of ``lines``."""
     names = ranked(lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1"), "a", "b")
-    rows = met(lines, names, ["a", "b"], "doc").join(bases, PLACE)
+    rows = R.met(lines, names, ["a", "b"], "doc").join(bases, PLACE)
     return R.written(rows.select((F.col("base") + F.col("i")).alias("p"), "base", F.col("place").alias("rank"), "w", "line", "ahead", "ahead_end", "back", "back_start"), "repeated")
 
 
@@ -129,7 +108,7 @@ def doubled(lines: DataFrame, min_words: int) -> tuple[DataFrame, DataFrame]:
         behind = now.select((F.col("p") - (1 << k)).alias("p"), F.col("rank").alias("next"), F.col("words").alias("more"), F.col("end").alias("last"))
         pairs = R.written(now.join(behind, "p", "left"), "pairs")
         names = pairs.where("next is not null").groupBy("rank", "next").agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1")
-        both = met(pairs, ranked(names, "rank", "next"), ["rank", "next"], "p", "left")
+        both = R.met(pairs, ranked(names, "rank", "next"), ["rank", "next"], "p", "left")
         after = R.written(both.withColumn("again", F.coalesce(F.col("p") > F.col("first"), F.lit(False))), "intervals")
         ended = after.where(F.col("later") & ~F.col("again") & (F.col("words") >= min_words)).select("base", "p", F.lit(1 << k).alias("n"), "start", "end")
         runs = ended if runs is None else runs.unionByName(ended)
@@ -158,7 +137,7 @@ def later_runs(lines: DataFrame, bases: DataFrame, min_words: int) -> DataFrame:
     windows = R.written(windows.select("base", "p", F.col("n").alias("length"), "head", "tail", "start", "end"), "windows")
     on = ["length", "head", "tail"]
     firsts = R.written(windows.groupBy(*on).agg(F.count("*").alias("n"), F.min("p").alias("first")).where("n > 1"), "firsts")
-    short = met(windows, firsts, on, "p").where(F.col("p") > F.col("first"))
+    short = R.met(windows, firsts, on, "p").where(F.col("p") > F.col("first"))
     return runs.select("base", "start", "end").union(short.select("base", "start", "end"))
 
 
