@@ -68,7 +68,7 @@ def spaced(hits: Column, gap: int) -> Column:
     start = F.array().cast("array<struct<index:int,type:string>>")
 
     def keep(out: Column, x: Column) -> Column:
-        far = (F.size(out) == 0) | (x["index"] - F.coalesce(F.get(out, F.size(out) - 1)["index"], F.lit(-(10**9))) >= gap)
+        far = (F.size(out) == 0) | (x["index"] - F.get(out, F.size(out) - 1)["index"] >= gap)
         return F.when(far, F.concat(out, F.array(x))).otherwise(out)
 
     of = lambda kind: F.filter(hits, lambda x: x["type"] == kind)

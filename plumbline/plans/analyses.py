@@ -241,7 +241,8 @@ def tsne(bank: Bank, sample_per_run: int = 2000, pca_dim: int = 50, perplexity:
 
 
 def contact_sheet(items: DataFrame, key: list[str], order: list, per_row: int = 8, width: int = 256, height: int = 256, caption: int = 24, title: int = 40, margin: int = 12) -> DataFrame:
-    """Where each item's thumbnail goes: row and column, offsets in pixels and the sheet's size."""
+    """Where each item's thumbnail goes: row and column, offsets in pixels and the sheet's size. The
+    defaults are fixed values: the spacing of the analysed toolkit's sheets."""
     w = Window.partitionBy(*key)
     place = items.withColumn("position", F.row_number().over(w.orderBy(*order)).cast("long") - 1).withColumn("n", F.count("*").over(w))
     row, column, tall = F.floor(F.col("position") / per_row), F.col("position") % per_row, height + caption + margin
