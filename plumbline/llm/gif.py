@@ -122,27 +122,46 @@ def codes_of(data: bytes, bits: int):
         yield np.concatenate(run)
 
 
+def run_samples(codes: np.ndarray, base: int, most: int) -> np.ndarray:
+    """At most ``most`` samples of the codes after a clear code; codes from ``base`` on are entries.
+
+    Entry k is the string of token k and the sample after it, so in the output it is what stands from
+    token k's place on. A token's length is one more than that of the token it refers to, and each of
+    its samples is a copy of one before: both are followed back by doubling the steps.
+    """
+    n = len(codes)
+    of = codes - base
+    if (of >= np.arange(n)).any():
+        raise ValueError("a code stream is damaged")
+    literal = of < 0
+    back, steps = np.append(np.where(literal, n, of), n), np.append(~literal, False).astype(np.int64)
+    while (back[:n] < n).any():
+        steps += steps[back]
+        back = back[back]
+    length = steps[:n] + 1
+    start = np.cumsum(length) - length
+    used = int(np.searchsorted(start, most))  # the tokens that begin within what is wanted
+    start, length, literal, codes = start[:used], length[:used], literal[:used], codes[:used]
+    source = np.arange(int(length.sum())) - np.repeat(np.where(literal, 0, start - start[np.maximum(of[:used], 0)]), length)
+    while True:
+        before = source[source]
+        if np.array_equal(before, source):
+            break
+        source = before
+    value = np.zeros(len(source), np.uint8)
+    value[start[literal]] = codes[literal]
+    return value[source[:most]]
+
+
 def lzw_samples(data: bytes, bits: int, count: int) -> np.ndarray:
     """At most ``count`` samples of a code stream; missing ones are 0."""
-    base = [bytes([i]) for i in range(1 << bits)] + [b"", b""]
-    out: list[bytes] = []
-    emit = out.append
+    out, at = np.zeros(count, np.uint8), 0
     for run in codes_of(data, bits):
-        table, last = list(base), b""
-        add = table.append
-        for code in run.tolist():
-            if code < len(table):
-                entry = table[code]
-            elif code == len(table) and last:
-                entry = last + last[:1]
-            else:
-                raise ValueError("a code stream is damaged")
-            if last and len(table) < 4096:
-                add(last + entry[:1])
-            emit(entry)
-            last = entry
-    samples = np.frombuffer(b"".join(out), np.uint8)[:count]
-    return samples if len(samples) == count else np.concatenate((samples, np.zeros(count - len(samples), np.uint8)))
+        if len(run) and at < count:
+            samples = run_samples(run.astype(np.int64), (1 << bits) + 2, count - at)
+            out[at : at + len(samples)] = samples
+            at += len(samples)
+    return out
 
 
 # files
@@ -214,6 +233,8 @@ def frames(data: bytes):
         if kind != 0x2C:
             raise ValueError("an unknown block")
         left, top, w, h, local = struct.unpack("<HHHHB", data[at + 1 : at + 10])
+        if w * h > PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
         colours, at = palette(local, at + 10) if local & 0x80 else (common, at + 10)
         if colours is None:
             colours = np.repeat(np.arange(256, dtype=np.uint8), 3).reshape(-1, 3)
