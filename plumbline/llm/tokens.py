@@ -37,6 +37,8 @@ PERCENTILES = (50, 75, 90, 95, 100)
 SEGMENT = 1 << 16
 #: Pieces a worker remembers; it starts anew beyond that. Longer pieces are never kept.
 REMEMBERED, LONGEST = 800_000, 256
+#: Pieces that are encoded as one text.
+JOINED = 256
 #: Bytes that begin a visible character: ASCII, and lead bytes under which no white space lies.
 VISIBLE = np.zeros(256, bool)
 VISIBLE[0x21:0x7F] = VISIBLE[0xC3:0xE1] = VISIBLE[0xE4:0xF5] = True
@@ -187,30 +189,50 @@ class Encoder:
         self.added = [x.content.encode() for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
         self.visible = VISIBLE.copy()  # but not the first byte of an added token, which white space in front ends at
         self.visible[[x[0] for x in self.added]] = False
+        self.begin = np.array([(self.tokenizer.id_to_token(i) or "").startswith(LETTERS[32]) for i in range(self.tokenizer.get_vocab_size())])
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[int, int] = {}
         self.start, self.length, self.parts = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def spaced(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and their numbers of texts that are a space and ASCII letters. Many are encoded as
+        one text: each is one pre-token, and the only ids that begin with a space begin these."""
+        many = [b"".join(texts[i : i + JOINED]).decode() for i in range(0, len(texts), JOINED)]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
+        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, sum(map(len, found)))
+        return ids, np.diff(np.append(np.flatnonzero(self.begin[ids]), len(ids)))
+
     def pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of pieces, one after another, and how many each has. A Latin word, with or
         without a space in front, is one pre-token and goes to the model at once."""
-        out: list = [None] * len(texts)
+        joined = [i for i, x in enumerate(texts) if x[:1] == b" " and x[1:].isalpha()]
+        ids, sizes = self.spaced([texts[i] for i in joined])
+        taken = np.zeros(len(texts), bool)
+        taken[joined] = True
+        others = np.flatnonzero(~taken).tolist()
+        out: list = [None] * len(others)
         rest = []
-        tokenize, letters, space = self.model.tokenize, LETTERS, LETTERS[32]
-        for i, x in enumerate(texts):
+        tokenize, letters = self.model.tokenize, LETTERS
+        for i, at in enumerate(others):
+            x = texts[at]
             after = x[1:] if x[:1] == b" " else x
             if after.isalpha():  # ASCII letters alone
-                out[i] = [t.id for t in tokenize(after.decode() if after is x else space + after.decode())]
+                out[i] = [t.id for t in tokenize(after.decode())]
             elif (word := after.decode()).isalpha() and max(word) < "\u0250":
                 out[i] = [t.id for t in tokenize(x.decode("latin-1").translate(letters))]
             else:
                 rest.append((i, x.decode()))
         for (i, _), e in zip(rest, self.tokenizer.encode_batch_fast([w for _, w in rest], add_special_tokens=False), strict=True):
             out[i] = e.ids
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+        more = np.fromiter(map(len, out), np.int64, len(out))
+        both = np.concatenate((ids, np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(more.sum()))))
+        size = np.concatenate((sizes, more))
+        order = np.argsort(np.array([*joined, *others], np.int64), kind="stable")  # of the texts among these
+        start = (np.cumsum(size) - size)[order]
+        size = size[order]
+        return both[np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))], size
 
     def begins(self, data: np.ndarray, offsets: np.ndarray, raw: bytes) -> np.ndarray:
         """Where pieces begin: at a text's first byte, at a space or line feed before a visible
