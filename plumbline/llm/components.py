@@ -11,19 +11,29 @@ from plumbline.llm import _runtime as R
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of ``edges``; a component's name is its least node.
 
-    Each round takes the least name among a node's neighbours, and then the name of that name, so
-    chains halve and stars end in one round. Names are summed per task before they are shuffled,
-    and joins are plain equi-joins that Spark may split, so a node with very many edges is no
-    large task. Rounds end when no name changes. Null ends and self-loops are ignored.
+    Each round gives a node the name of its least neighbour, or its own if that is less, and then
+    the name that this one has. The graph is contracted by these names: edges within a name are
+    gone, and others are kept once. So a round meets what is left alone, stars end in one and chains
+    shrink by a factor; the rounds' names, joined one after another, are the components'.
+
+    Names are summed per task before they are shuffled, and joins are plain equi-joins that Spark
+    may split, so a node with very many edges is no large task. Null ends and self-loops are ignored.
     """
-    edges = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null and a <> b")
-    both = R.written(edges.union(edges.select("b", "a")).distinct(), "edges")
-    labels = R.written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        heard = both.join(labels.select(F.col("node").alias("a"), "component"), "a").groupBy(F.col("b").alias("node")).agg(F.min("component").alias("heard"))
-        near = labels.join(heard, "node", "left").select("node", F.col("component").alias("before"), F.least("component", "heard").alias("component"))
-        above = labels.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        after = R.written(near.join(above, "component", "left").select("node", "before", F.least("component", "above").alias("component")), "labels")
-        labels = after.select("node", "component")
-        if after.where("component <> before").limit(1).count() == 0:
-            return labels
+    x, y = F.col(a), F.col(b)
+    rest = R.written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
+    names = []
+    while rest.limit(1).count():
+        ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select("b", "a"))
+        first = R.written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("name")), "names")
+        above = first.select(F.col("node").alias("name"), F.col("name").alias("above"))
+        names.append(R.written(first.join(above, "name").select("node", F.col("above").alias("name")), "names"))
+        of = lambda end, new, known=names[-1]: known.select(F.col("node").alias(end), F.col("name").alias(new))
+        met = rest.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
+        rest = R.written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+    if not names:
+        return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    found = names[-1].select("node", F.col("name").alias("component"))
+    for known in reversed(names[:-1]):
+        later = found.select(F.col("node").alias("name"), "component")
+        found = R.written(known.join(later, "name", "left").select("node", F.coalesce("component", "name").alias("component")), "names")
+    return found
