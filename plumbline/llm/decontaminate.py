@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,8 @@ from plumbline.llm import _words as W
 #: Words of benchmark items in one block: about 100 MB, the most that the driver or a worker holds.
 BLOCK_WORDS = 1_000_000
 BITS = 22
-#: A word as the windows see it, for counting: no ASCII character but a letter or digit.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-FOUND = "key long, again long, spans array<struct<start:long,end:long>>, items array<string>"
+FOUND = "key long, again long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 ADDED = ("n_words", "n_hit", "spans", "items", "contaminated")
 
 
@@ -120,7 +119,7 @@ def occurrences(index: Index, h: np.ndarray, f: np.ndarray):
 
 
 def judge(index: Index, part, text: str):
-    """A batch FOUND of the rows of ``part`` (key, again and text) in which a window occurs."""
+    """A batch FOUND of the rows of ``part`` (key, again and text)."""
     h, f, _, _ = W.words(*W.buffers(part.column(text)), W.ALNUM)
     first, window = occurrences(index, h, f)
     doc = np.searchsorted(f, first, "right") - 1
@@ -131,30 +130,33 @@ def judge(index: Index, part, text: str):
     np.add.at(edge, first, 1)
     np.add.at(edge, first + index.length[window], -1)
     hit = np.cumsum(edge[:-1]) > 0
-    docs, spans = sorted(items), []
-    for d in docs:
+    spans: list[list[dict]] = [[] for _ in range(part.num_rows)]
+    for d in items:
         x = np.diff(np.concatenate(([0], hit[f[d] : f[d + 1]].astype(np.int8), [0])))
-        spans.append([{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(x == 1), np.flatnonzero(x == -1), strict=True)])
-    own = part.select(["key", "again"]).take(pa.array(docs, pa.int64()))
-    return pa.RecordBatch.from_arrays([*own.columns, pa.array(spans, SPANS), pa.array([sorted(items[d]) for d in docs], pa.list_(pa.string()))], names=["key", "again", "spans", "items"])
+        spans[d] = [{"start": int(s), "end": int(e)} for s, e in zip(np.flatnonzero(x == 1), np.flatnonzero(x == -1), strict=True)]
+    found = [pa.array(np.diff(f), pa.int64()), pa.array(spans, SPANS), pa.array([sorted(items.get(d, ())) for d in range(part.num_rows)], pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays([*part.select(["key", "again"]).columns, *found], names=["key", "again", "n_words", "spans", "items"])
 
 
 def indexes(benchmark: DataFrame, window: int, shingle: int) -> Iterator[Index]:
-    """The benchmark's windows in blocks of about BLOCK_WORDS words (or one longer item), in turn."""
+    """The benchmark's windows in blocks of about BLOCK_WORDS words (or one longer item), in turn; one
+    block where there are none."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), R.text_of("text").alias("text")).where("item_id is not null").distinct()
     items = R.written(items, "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // (2 * BLOCK_WORDS)))  # a word and the gap after it are two characters at least
+    some = False
     for k in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
         index = Index([r[0] for r in rows], [r[1] for r in rows], window, shingle)
         del rows
-        if len(index.item):
+        some = some or len(index.item) > 0
+        if len(index.item) or (k == n - 1 and not some):
             yield index
 
 
 def occurring(rows: DataFrame, index: Index, text: str) -> DataFrame:
-    """FOUND for the ``rows`` (key, again, text) in which a window of the block occurs, written."""
+    """FOUND for the ``rows`` (key, again, text) and the windows of the block, written."""
     context = rows.sparkSession.sparkContext
     sent = context.broadcast(index)
     counts = A.reduced(rows.select(text), text, "token long, n long", lambda: np.zeros(len(sent.value.tokens), np.int64), lambda state, part: tally(sent.value, state, part, text), totals)
@@ -202,18 +204,16 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     """
     names = [c for c in documents.columns if c.lower() not in ADDED]
     known = [F.col(f"`{c}`") for c in names if c == text or c.lower() == "doc_id"]  # copies of a text differ in id
-    keyed = documents.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.xxhash64(*known).alias("key"), F.xxhash64(F.lit(3), *known).alias("again"))
-    rows = keyed.select("key", "again", F.col(f"row.`{text}`").alias(text))
-    found = documents.sparkSession.createDataFrame([], FOUND)
-    for index in indexes(benchmark, window, shingle):
-        found = found.unionByName(occurring(rows, index, text))
-    found = found.groupBy("key", "again").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
-    found = R.written(found.select("key", "again", union(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "found")
-    out = keyed.join(found.hint("merge"), ["key", "again"], "left")  # the same plan at every size
-    out = out.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    own = {c: f"c{i}" for i, c in enumerate(names)}  # columns under names of this function's own, none of which clash
+    keyed = documents.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()], F.xxhash64(*known).alias("key"), F.xxhash64(F.lit(3), *known).alias("again"))
+    rows = keyed.select("key", "again", F.col(own[text]).alias(text))
+    # what is found of a row is narrow; a text that nobody asks for isn't shuffled to it
+    found = reduce(DataFrame.unionByName, [occurring(rows, index, text) for index in indexes(benchmark, window, shingle)])
+    found = found.groupBy("key", "again").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    found = R.written(found.select("key", "again", "n_words", union(F.col("spans")).alias("spans"), F.array_sort(F.array_distinct("items")).alias("items")), "found")
+    out = keyed.join(found.hint("merge"), ["key", "again"])  # the same plan at every size
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    n_words = F.coalesce(F.regexp_count(F.col(f"row.`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in names], n_words.alias("n_words"), n_hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
+    return out.select(*[F.col(x).alias(c) for c, x in own.items()], "n_words", n_hit.alias("n_hit"), "spans", "items", (F.size("spans") > 0).alias("contaminated"))
 
 
 def tally(index: Index, state: np.ndarray, part, text: str) -> None:
