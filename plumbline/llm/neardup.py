@@ -36,6 +36,8 @@ BUCKETS = ROWS * BANDS
 SLACK = 5.0
 #: Shingles and members in a block of a group.
 BLOCK_SHINGLES, BLOCK_MEMBERS = 60_000, 2_000
+#: Slots of text keys: a filter of 8 MB at most, by which few texts are read for few keys.
+SLOTS = 1 << 20
 SKETCH = StructType([StructField("n_shingles", LongType()), StructField("name", BinaryType()), StructField("sketch", ArrayType(LongType()))])
 
 _random = np.random.RandomState(20240229)
@@ -162,8 +164,15 @@ def text_key(doc_id: str, text: str) -> Column:
 
 
 def texts_of(documents: DataFrame, doc_id: str, text: str, keys: DataFrame) -> DataFrame:
-    """(key, text) of the distinct ``keys`` (key), one row for each different text."""
-    rows = documents.select(text_key(doc_id, text).alias("key"), F.col(text).alias("text")).join(keys, "key", "left_semi")
+    """(key, text) of the distinct ``keys`` (key), one row for each different text.
+
+    Texts that no key can be of are dropped where they are read: a key falls into one of SLOTS slots,
+    and those in use are a broadcast of SLOTS numbers at most. What is left is sorted to the keys.
+    """
+    keys = R.written(keys, "text-keys")
+    slot = F.pmod(F.col("key"), F.lit(SLOTS)).alias("slot")
+    rows = documents.select(text_key(doc_id, text).alias("key"), F.col(text).alias("text")).select("key", "text", slot)
+    rows = rows.join(F.broadcast(keys.select(slot).distinct()), "slot", "left_semi").drop("slot").join(keys.hint("merge"), "key", "left_semi")
     return rows.withColumn("again", F.xxhash64(F.lit(3), "text")).dropDuplicates(["key", "again"]).select("key", "text")
 
 
@@ -181,23 +190,24 @@ def links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str,
 
 
 class Block:
-    """Members of one block: their ids, components, sketches and, in one array, their sets."""
+    """Members of one block: their ids, components, sizes and sketches and, if they are there, in one
+    array, their sets."""
 
     def __init__(self, cell, names: dict):
         rows = cell.values
         self.ids = rows.field("node").to_numpy()
         self.component = np.array([names.setdefault(c, len(names)) for c in rows.field("component").to_pylist()])
+        self.size = rows.field("n_shingles").to_numpy()
         self.sketch = unpacked(rows.field("sketch"))
-        members = rows.field("members")
-        self.size = np.diff(W.buffers(members)[1]) // 8
-        self.shingles = W.buffers(members)[0].view("<u8")
-        self.start = np.concatenate(([0], np.cumsum(self.size)))
-        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
+        if "members" in {f.name for f in rows.type}:
+            self.shingles = W.buffers(rows.field("members"))[0].view("<u8")
+            self.start = np.concatenate(([0], np.cumsum(self.size)))
+        self.kinds, self.kind = np.unique(self.size, return_inverse=True)
 
     def index(self) -> None:
         """Shingles in order, with their owners, for ``shared``."""
         order = np.argsort(self.shingles, kind="stable")
-        self.keys, self.owners = self.shingles[order], self.owner[order]
+        self.keys, self.owners = self.shingles[order], np.repeat(np.arange(len(self.ids)), self.size)[order]
 
     def shared(self, own: np.ndarray) -> np.ndarray:
         """How many of the sorted shingles ``own`` each member holds."""
@@ -206,6 +216,40 @@ class Block:
         at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
         return np.bincount(self.owners[at], minlength=len(self.ids))
 
+    def candidates(self, other: Block, i: int, threshold: float) -> np.ndarray:
+        """Members of another component than the other block's member i, whose sizes and estimates
+        allow them to be as like it as the threshold."""
+        n = float(other.size[i])
+        fits = (np.minimum(n, self.kinds) >= threshold * np.maximum(n, self.kinds))[self.kind]
+        k = np.flatnonzero(fits & (self.component != other.component[i]))
+        if len(k):
+            chance = np.minimum(collisions(np.full(len(self.kinds), n), self.kinds.astype(float)), 0.5)[self.kind[k]]
+            share = (self.sketch[k] == other.sketch[i]).mean(1)
+            k = k[(share - chance) / (1 - chance) >= lowest(threshold)]
+        return k
+
+
+def block_members(percent: int):
+    """(bucket, node) of members of two blocks of a bucket that are a candidate pair with another."""
+    def run(batches):
+        for batch in batches:
+            bucket, found = [], []
+            for g, left, right in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                names: dict = {}
+                x, y = Block(left, names), Block(right, names)
+                a, b = np.zeros(len(x.ids), bool), np.zeros(len(y.ids), bool)
+                for i in range(len(x.ids)):
+                    k = y.candidates(x, i, percent / 100)
+                    a[i] = len(k) > 0
+                    b[k] = True
+                ids = np.unique(np.concatenate((x.ids[a], y.ids[b])))
+                found.append(ids)
+                bucket.append(np.full(len(ids), g))
+            join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(join(bucket), pa.int64()), pa.array(join(found), pa.int64())], names=["bucket", "node"])
+
+    return run
+
 
 def block_links(percent: int):
     """Links between the members of two blocks that no link connects yet.
@@ -214,29 +258,19 @@ def block_links(percent: int):
     then drop out, sizes and estimates drop more, and what is left is counted exactly through an
     index of the second block's shingles. What is held is a row of numbers per member, no pairs.
     """
-    threshold = percent / 100
-    low = lowest(threshold)
-
     def run(batches):
         for batch in batches:
             found: list[tuple[int, int]] = []
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
+            for left, right in zip(batch.column(1), batch.column(2), strict=True):
                 names: dict = {}
                 x, y = Block(left, names), Block(right, names)
                 y.index()
-                kinds, kind = np.unique(y.size, return_inverse=True)
                 for i in range(len(x.ids)):
-                    n = x.size[i]
-                    fits = (np.minimum(n, kinds) >= threshold * np.maximum(n, kinds))[kind]
-                    k = np.flatnonzero(fits & (y.component != x.component[i]))
-                    if len(k):
-                        chance = np.minimum(collisions(np.full(len(kinds), float(n)), kinds.astype(float)), 0.5)[kind[k]]
-                        share = (y.sketch[k] == x.sketch[i]).mean(1)
-                        k = k[(share - chance) / (1 - chance) >= low]
+                    k = y.candidates(x, i, percent / 100)
                     if not len(k):
                         continue
                     both = y.shared(x.shingles[x.start[i] : x.start[i + 1]])[k]
-                    for j in k[100 * both >= percent * (n + y.size[k] - both)]:
+                    for j in k[100 * both >= percent * (x.size[i] + y.size[k] - both)]:
                         one, two = x.component[i], y.component[j]
                         if one != two:
                             found.append((int(x.ids[i]), int(y.ids[j])))
@@ -258,35 +292,46 @@ def set_rows(size: int):
     return run
 
 
-def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
-    """Links within ``buckets`` (hub, node, component), each of several components.
+def paired(rows: DataFrame, weight: Column, *columns: str) -> DataFrame:
+    """(bucket, left, right): the pairs of blocks in which members of different components of a bucket
+    meet, each block an array of structs of ``columns``.
 
-    Buckets that share members are one group, in which each set is held once. A group's members
-    are dealt over blocks bounded in shingles and members; those of its largest component, whose
-    blocks are numbered last, are compared with others only. Each pair of blocks is a key of its
-    own, so the pairs of a large group are spread over all tasks.
+    A bucket's members are dealt over blocks bounded in ``weight``. Those of its largest component,
+    whose blocks are numbered last, meet others only. A pair of blocks is a key of its own, so the
+    pairs of a large bucket are spread over all tasks.
     """
-    spark = nodes.sparkSession
-    group = components(buckets.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    rows = buckets.select("node", "component").distinct().join(group.select("node", F.col("component").alias("group")), "node")
-    rows = R.written(rows.join(nodes.select("node", "key", "name", "n_shingles", "sketch"), "node"), "open-nodes")
-    weight = F.greatest("n_shingles", F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS))
-    most = rows.groupBy("group", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w")).groupBy("group").agg(F.max_by("component", F.struct("n", "component")).alias("most"), F.max_by("w", F.struct("n", "component")).alias("w"), F.sum("w").alias("all"))
-    minor_blocks, major_blocks = F.ceil((F.col("all") - F.col("w")) / BLOCK_SHINGLES), F.ceil(F.col("w") / BLOCK_SHINGLES)
-    most = most.select("group", "most", minor_blocks.alias("minor"), major_blocks.alias("major"))
+    sums = rows.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.sum(weight).alias("w"))
+    sums = sums.groupBy("bucket").agg(F.sum("n").alias("n"), F.max_by("component", F.struct("n", "component")).alias("most"), F.max_by("w", F.struct("n", "component")).alias("w"), F.sum("w").alias("all"))
+    sums = sums.select("bucket", "n", "most", F.ceil((F.col("all") - F.col("w")) / BLOCK_SHINGLES).alias("minor"), F.ceil(F.col("w") / BLOCK_SHINGLES).alias("major")).where("minor > 0")
+    sums = R.written(sums, "bucket-sums")
     place = F.when(F.col("component") != F.col("most"), F.pmod(F.xxhash64("node"), "minor")).otherwise(F.col("minor") + F.pmod(F.xxhash64("node"), "major"))
-    rows = rows.join(most, "group").select("group", "node", "name", "component", "sketch", place.alias("block"), "minor", (F.col("minor") + F.col("major")).alias("blocks"))
-    wanted = group.select("node").join(nodes.select("node", "key"), "node").select("key").distinct()
-    whole = texts_of(documents, doc_id, text, wanted).mapInArrow(set_rows(size), "name binary, members binary").dropDuplicates(["name"])
-    member = F.struct("node", "component", "sketch", "members")
-    blocks = R.written(rows.join(whole, "name").groupBy("group", "block", "minor", "blocks").agg(F.collect_list(member).alias("x")), "blocks")
+    dealt = R.met(rows, sums, ["bucket"], "node").withColumn("block", place).withColumn("blocks", F.col("minor") + F.col("major"))
+    blocks = R.written(dealt.groupBy("bucket", "block", "minor", "blocks").agg(F.collect_list(F.struct(*columns)).alias("x")), "blocks")
     # blocks that are empty have no row; a pair is (first, second), the first of the minor ones
-    first = blocks.where(F.col("block") < F.col("minor")).select("group", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("second"), F.col("x").alias("left"))
-    last = F.least(F.col("block"), F.col("minor") - 1)
-    second = blocks.where(F.col("minor") > 0).select("group", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("first"), F.col("block").alias("second"), F.col("x").alias("right"))
-    pairs = first.join(second.hint("merge"), ["group", "first", "second"]).select("left", "right")
+    first = blocks.where(F.col("block") < F.col("minor")).select("bucket", F.col("block").alias("first"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("second"), F.col("x").alias("left"))
+    second = blocks.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("minor") - 1))).alias("first"), F.col("block").alias("second"), F.col("x").alias("right"))
+    return first.join(second.hint("merge"), ["bucket", "first", "second"]).select("bucket", "left", "right")
+
+
+def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
+    """Links within ``buckets`` (bucket, node, component), each of several components.
+
+    First sketches meet, and tell which members are a candidate pair with another at all; for these
+    alone texts are read, and their sets meet.
+    """
+    spark = nodes.sparkSession
+    few = F.lit(BLOCK_SHINGLES // BLOCK_MEMBERS)
+    columns = ["node", "component", "n_shingles", "sketch"]
+    pairs = paired(buckets.join(nodes.select("node", "n_shingles", "sketch"), "node"), few, *columns)
+    R.small_batches(spark, 8)  # pairs of blocks
+    maybe = R.written(pairs.mapInArrow(block_members(percent), "bucket long, node long").distinct(), "candidates")
+    R.small_batches(spark)
+    rows = buckets.join(maybe, ["bucket", "node"]).join(nodes.select("node", "key", "name", "n_shingles", "sketch"), "node")
+    rows = R.written(rows, "open-nodes")
+    whole = texts_of(documents, doc_id, text, rows.select("key").distinct()).mapInArrow(set_rows(size), "name binary, members binary").dropDuplicates(["name"])
+    pairs = paired(rows.join(R.written(whole, "sets"), "name"), F.greatest("n_shingles", few), *columns, "members")
     R.small_batches(spark, 8)
-    found = R.written(pairs.mapInArrow(block_links(percent), "a long, b long"), "links")
+    found = R.written(pairs.mapInArrow(block_links(percent), "a long, b long").distinct(), "links")
     R.small_batches(spark)
     return found
 
@@ -294,15 +339,17 @@ def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
 def grouped(nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
     """(node, component) of nodes that have links."""
     bands = nodes.select("node", F.posexplode("sketch").alias("band", "value"))
-    keys = bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = R.written(bands.join(keys, ["band", "value"]).where("node <> pivot").select("band", "value", "node", "pivot"), "buckets")
+    keys = R.written(bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "keys")
+    buckets = R.written(R.met(bands, keys, ["band", "value"], "node").where("node <> pivot").select("band", "value", "node", "pivot"), "buckets")
     pairs = R.written(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     found = links(pairs, nodes, documents, doc_id, text, percent, size)
     # buckets whose members beside the pivot, which is compared with all, are in several components
     named = buckets.select("band", "value", "node").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = R.written(named, "named")
-    open_ = named.groupBy("band", "value").agg(F.min("node").alias("hub"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
-    left = R.written(named.join(open_.select("band", "value", "hub"), ["band", "value"]).select("hub", "node", "component").distinct(), "open")
+    open_ = named.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
+    open_ = R.written(open_.select("band", "value", "n"), "open-keys")
+    # two buckets of one hash are one, whose members meet a few more than they need
+    left = R.written(R.met(named, open_, ["band", "value"], "node").select(F.xxhash64("band", "value").alias("bucket"), "node", "component"), "open")
     if left.limit(1).count():
         found = found.union(blocked(left, nodes, documents, doc_id, text, percent, size))
     return components(found)

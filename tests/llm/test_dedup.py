@@ -94,13 +94,16 @@ def test_links_of_blocks_without_a_pair_list():
     rng = np.random.default_rng(5)
     pool = rng.integers(1, 1 << 62, 30, dtype=np.uint64)
     found = [np.unique(np.concatenate((pool[:14], rng.integers(1, 1 << 62, 6, dtype=np.uint64)))) for _ in range(300)]
-    kind = neardup.pa.list_(neardup.pa.struct([("node", neardup.pa.int64()), ("component", neardup.pa.int64()), ("sketch", neardup.pa.list_(neardup.pa.int64())), ("members", neardup.pa.binary())]))
+    whole = neardup.pa.struct([("node", neardup.pa.int64()), ("component", neardup.pa.int64()), ("n_shingles", neardup.pa.int64()), ("sketch", neardup.pa.list_(neardup.pa.int64())), ("members", neardup.pa.binary())])
     sketch = neardup.registers(found).astype("<u2").view("<i8")
-    cell = [{"node": i, "component": i, "sketch": sketch[i].tolist(), "members": x.astype("<u8").tobytes()} for i, x in enumerate(found)]
+    cell = [{"node": i, "component": i, "n_shingles": len(x), "sketch": sketch[i].tolist(), "members": x.astype("<u8").tobytes()} for i, x in enumerate(found)]
     cell[7], cell[250] = {**cell[3], "node": 7, "component": 7}, {**cell[9], "node": 250, "component": 250}
-    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([cell], kind), neardup.pa.array([cell], kind)], names=["left", "right"])
+    batch = neardup.pa.RecordBatch.from_arrays([neardup.pa.array([5]), *[neardup.pa.array([cell], neardup.pa.list_(whole)) for _ in range(2)]], names=["bucket", "left", "right"])
     links = next(neardup.block_links(80)([batch])).to_pylist()
     assert {frozenset(x.values()) for x in links} == {frozenset((3, 7)), frozenset((9, 250))}
+    some = next(neardup.block_members(80)([batch])).to_pylist()
+    assert {3, 7, 9, 250} <= {r["node"] for r in some}
+    assert {r["bucket"] for r in some} == {5}
 
 
 def test_deduplicated(spark):
