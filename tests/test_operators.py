@@ -201,6 +201,60 @@ def test_tsne():
     assert tsne.embed(x[:2]).shape == (2, 2)
 
 
+@pytest.mark.parametrize("scale", [1e-8, 1e-4, 0.1, 1, 5, 20])
+def test_tsne_forces_on_the_grid(scale):
+    """Maps as they are in the first rounds and in the last, with a far row, against plain sums."""
+    g = np.random.default_rng(3)
+    y = np.concatenate([g.normal(size=(40, 2)), g.normal(3, 0.2, size=(40, 2)), [[5, -6]] * 2, [[-9, 9]]]) * scale
+    apart = y[:, None] - y[None]
+    w = 1 / (1 + (apart**2).sum(2)) * (1 - np.eye(len(y)))
+    want, total = ((w * w)[:, :, None] * apart).sum(1), w.sum()
+    for way, near in ((tsne.by_pairs, 1e-6), (tsne.by_grid, 2e-3), (tsne.repulsion, 2e-3)):
+        force, summed = way(y)
+        assert np.linalg.norm(force - want) < near * np.linalg.norm(want)
+        assert math.isclose(summed, total, rel_tol=1e-4)
+
+
+def test_tsne_attraction():
+    g = np.random.default_rng(4)
+    y, x = g.normal(size=(300, 2)), g.normal(size=(300, 5))
+    i, j, p = tsne.affinities(x, 9)
+    dense = np.zeros((300, 300))
+    dense[i, j] = p
+    apart = y[:, None] - y[None]
+    want = ((dense / (1 + (apart**2).sum(2)))[:, :, None] * apart).sum(1)
+    assert np.allclose(tsne.attraction(y, i, j, p), want, rtol=1e-9, atol=1e-15)
+
+
+def test_tsne_of_many_rows_sums_no_pairs(monkeypatch):
+    """8000 rows, the sample of four runs, are laid on the grid in each round; rows that are too far
+    apart for one, or few, are summed by pairs."""
+    ways, by_pairs, by_grid = [], tsne.by_pairs, tsne.by_grid
+    monkeypatch.setattr(tsne, "by_pairs", lambda y: ways.append("pairs") or by_pairs(y))
+    monkeypatch.setattr(tsne, "by_grid", lambda y: ways.append("grid") or by_grid(y))
+    x = np.random.default_rng(6).normal(size=(8000, 4))
+    y = tsne.embed(x, rounds=3)
+    assert y.shape == (8000, 2) and np.isfinite(y).all()
+    assert ways == ["grid"] * 3
+    tsne.repulsion(np.concatenate([x[:2000, :2], [[1e9, -1e9]]]))
+    tsne.repulsion(x[:300, :2] * 20)
+    assert ways[3:] == ["pairs"] * 2
+
+
+def test_tsne_map_is_as_good_by_either_way(monkeypatch):
+    x = np.concatenate([np.random.default_rng(7).normal(c, 1, size=(200, 8)) for c in (0, 2, 4)])
+    i, j, p = tsne.affinities(x, 30)
+
+    def loss(y):
+        w = 1 / (1 + ((y[i] - y[j]) ** 2).sum(1))
+        return (p * np.log(p * tsne.by_pairs(y)[1] / w)).sum()
+
+    monkeypatch.setattr(tsne, "repulsion", tsne.by_pairs)
+    pairs = loss(tsne.embed(x, rounds=400))
+    monkeypatch.setattr(tsne, "repulsion", tsne.by_grid)
+    assert loss(tsne.embed(x, rounds=400)) < pairs + 0.1  # other seeds change either by 0.02 (standard deviation)
+
+
 def test_pearson_p():
     assert math.isclose(analyses.pearson_p(0.5, 20), 0.0247, abs_tol=1e-3)
     assert math.isclose(analyses.pearson_p(0.0, 20), 1.0, abs_tol=1e-9)
