@@ -1,4 +1,5 @@
 import hashlib
+import json
 import re
 import zlib
 
@@ -342,6 +343,81 @@ def test_encoder_equals_library():
             at += n
 
 
+class Counted:
+    """An object whose calls with texts are counted."""
+
+    def __init__(self, of):
+        self.of, self.texts = of, 0
+
+    def __getattr__(self, name):
+        return getattr(self.of, name)
+
+    def tokenize(self, text):
+        self.texts += 1
+        return self.of.tokenize(text)
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.of.encode_batch_fast(texts, **options)
+
+
+def test_latin_words_are_encoded_many_at_a_time():
+    """Words with accents, before punctuation or at a line's begin, cost a share of a call each."""
+    enc = tokens.Encoder(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    enc.model, enc.tokenizer = Counted(enc.model), Counted(enc.tokenizer)
+    letters = "aeéèñüßÀŷ"
+    words = ["".join(letters[i // 9**k % 9] for k in range(4)) for i in range(3000)]
+    text = "".join(w + (" ", ", ", "\n", "!? ")[i % 4] for i, w in enumerate(words))
+    ids, _ = enc.encode(*W.buffers(pa.array([text, text])))
+    assert ids.tolist() == 2 * enc.tokenizer.of.encode(text, add_special_tokens=False).ids
+    assert enc.model.texts + enc.tokenizer.texts < len(words) / 50
+
+
+def test_vocabularies_without_a_byte_between_words():
+    """Where whole words of the vocabulary come before merges, words go to the library one by one."""
+    definition = json.loads(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    definition["model"]["ignore_merges"] = True
+    definition["model"]["vocab"]["".join(tokens.LETTERS[b] for b in "Étéqz".encode())] = len(definition["model"]["vocab"]) + 1
+    enc = tokens.Encoder(json.dumps(definition))
+    assert enc.between is None and enc.tokenizer.encode("Étéqz").ids == [len(definition["model"]["vocab"])]
+    text = "Étéqz été\nThe end, Étéqz."
+    ids, counts = enc.encode(*W.buffers(pa.array([text, "", text[:5]])))
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text[:5])]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_added_tokens_inside_words():
+    definition = json.loads(open(tokens.default_tokenizer(), encoding="utf-8").read())
+    definition["added_tokens"].append({**definition["added_tokens"][0], "id": len(definition["model"]["vocab"]) + 1, "content": "don"})
+    enc = tokens.Encoder(json.dumps(definition))
+    texts = ["a London fog, donc don't", "the fog", " don"]
+    ids, counts = enc.encode(*W.buffers(pa.array(texts)))
+    want = [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in want] and ids.tolist() == sum(want, [])
+
+
+def test_table_of_keys_that_meet():
+    """Keys of one place are found, after growth too."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(np.concatenate((np.arange(40, dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(40, dtype=np.uint64), rng.integers(0, 2**64, 500, dtype=np.uint64))))
+    rng.shuffle(keys)
+    table = tokens.Table(3)
+    for at in range(0, len(keys), 31):
+        assert not table.find(keys[at:]).any()
+        assert table.add(keys[at : at + 31]).tolist() == list(range(at + 1, min(at + 31, len(keys)) + 1))
+        assert table.find(keys[: at + 31]).tolist() == list(range(1, min(at + 31, len(keys)) + 1))
+
+
+@pytest.mark.parametrize("width", range(1, 33))
+def test_packed_values(width):
+    """Values of each width are their lowest bits, one after another."""
+    values = np.random.default_rng(width).integers(0, 2**width, (3, tokens.BLOCK), dtype=np.uint64).astype(np.uint32)
+    values[0] = 2**width - 1
+    rows = tokens.packed(values, width)
+    assert ["".join(f"{b:08b}" for b in r) for r in rows] == ["".join(f"{v:0{width}b}" for v in r) for r in values]
+    assert np.array_equal(tokens.unpacked(rows, width), values)
+
+
 def test_token_files(spark):
     rows = [(5, "Hello world", "s"), (1, None, "s"), (3, "", "s"), (9, "x " * 40000, "s"), (3, "again", "s"), (3, "again", "s"), (None, "no id", "s"), (-2, "é", "s")]
     files = tokens.write(docs(spark, rows), tokens.default_tokenizer(), limit=50)
