@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from plumbline.scratch import path as scratch_path
 from plumbline.scratch import written
 
-__all__ = ["ARROW_ROWS", "SHARE", "met", "partitions", "scratch_path", "small_batches", "text_of", "written"]
+__all__ = ["ARROW_ROWS", "FILES", "FILE_ROWS", "SHARE", "gathered", "met", "partitions", "scratch_path", "small_batches", "text_of", "written"]
 
 #: Rows of an Arrow batch sent to a Python worker. Texts may be long, so a batch holds few.
 ARROW_ROWS = 256
 #: Least rows of a key that ``met`` splits; keys of less than a partition's share never are.
 SHARE = 1000
+#: Short rows in a file of a gathered table, and the files that are never gathered further.
+FILE_ROWS, FILES = 100_000, 12
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -31,6 +33,16 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, at most ``rows`` short rows that cost little to work out, in fewer tasks and so in fewer files.
+
+    Each file costs more than its bytes: without its native library Hadoop's local file system starts
+    a process for each permission it sets, and until that process has its own program it counts as a
+    second executor to whoever sums memory. Tasks grow with the rows, so none is large at any size.
+    """
+    return df.coalesce(max(FILES, -(-rows // FILE_ROWS)))
+
+
 def met(rows: DataFrame, keys: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to the distinct ``keys``, of which n counts the rows that have them.
 

@@ -22,18 +22,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     x, y = F.col(a), F.col(b)
     rest = R.written(edges.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct(), "edges")
     names = []
-    while rest.limit(1).count():
+    while count := rest.count():
         ends = rest.select(F.col("a").alias("node"), F.col("b").alias("other")).union(rest.select("b", "a"))
-        first = R.written(ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("name")), "names")
+        first = ends.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("name"))
         above = first.select(F.col("node").alias("name"), F.col("name").alias("above"))
-        names.append(R.written(first.join(above, "name").select("node", F.col("above").alias("name")), "names"))
+        names.append(R.written(R.gathered(first.join(above, "name").select("node", F.col("above").alias("name")), 2 * count), "names"))
         of = lambda end, new, known=names[-1]: known.select(F.col("node").alias(end), F.col("name").alias(new))
         met = rest.join(of("a", "x"), "a").join(of("b", "y"), "b").where("x <> y")
-        rest = R.written(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        rest = R.written(R.gathered(met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), count), "edges")
     if not names:
         return rest.select(F.col("a").alias("node"), F.col("b").alias("component"))
     found = names[-1].select("node", F.col("name").alias("component"))
     for known in reversed(names[:-1]):
         later = found.select(F.col("node").alias("name"), "component")
-        found = R.written(known.join(later, "name", "left").select("node", F.coalesce("component", "name").alias("component")), "names")
+        found = R.written(R.gathered(known.join(later, "name", "left").select("node", F.coalesce("component", "name").alias("component")), known.count()), "names")
     return found

@@ -163,13 +163,13 @@ def text_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(R.text_of(text), F.col(doc_id).cast("long"))
 
 
-def texts_of(documents: DataFrame, doc_id: str, text: str, keys: DataFrame) -> DataFrame:
-    """(key, text) of the distinct ``keys`` (key), one row for each different text.
+def texts_of(documents: DataFrame, doc_id: str, text: str, keys: DataFrame, most: int) -> DataFrame:
+    """(key, text) of the distinct ``keys`` (key), ``most`` at most, one row for each different text.
 
     Texts that no key can be of are dropped where they are read: a key falls into one of SLOTS slots,
     and those in use are a broadcast of SLOTS numbers at most. What is left is sorted to the keys.
     """
-    keys = R.written(keys, "text-keys")
+    keys = R.written(R.gathered(keys, most), "text-keys")
     slot = F.pmod(F.col("key"), F.lit(SLOTS)).alias("slot")
     rows = documents.select(text_key(doc_id, text).alias("key"), F.col(text).alias("text")).select("key", "text", slot)
     rows = rows.join(F.broadcast(keys.select(slot).distinct()), "slot", "left_semi").drop("slot").join(keys.hint("merge"), "key", "left_semi")
@@ -184,7 +184,7 @@ def links(rows: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id: str,
     near = rows.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_key", "b_key", "a_name", "b_name", "n", "m", "a_sketch", "b_sketch")
     near = R.written(near.mapInArrow(promising(percent / 100), "a long, b long, a_key long, b_key long, a_name binary, b_name binary"), "near")
     wanted = near.select(F.col("a_key").alias("key")).union(near.select("b_key")).distinct()
-    texts = R.written(texts_of(documents, doc_id, text, wanted), "texts")
+    texts = R.written(texts_of(documents, doc_id, text, wanted, 2 * near.count()), "texts")
     both = near.join(texts.select(F.col("key").alias("a_key"), F.col("text").alias("a_text")), "a_key").join(texts.select(F.col("key").alias("b_key"), F.col("text").alias("b_text")), "b_key")
     return R.written(both.select("a", "b", "a_name", "b_name", "a_text", "b_text").mapInArrow(confirmed(percent, size), "a long, b long").distinct(), "links")
 
@@ -327,8 +327,8 @@ def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
     maybe = R.written(pairs.mapInArrow(block_members(percent), "bucket long, node long").distinct(), "candidates")
     R.small_batches(spark)
     rows = buckets.join(maybe, ["bucket", "node"]).join(nodes.select("node", "key", "name", "n_shingles", "sketch"), "node")
-    rows = R.written(rows, "open-nodes")
-    whole = texts_of(documents, doc_id, text, rows.select("key").distinct()).mapInArrow(set_rows(size), "name binary, members binary").dropDuplicates(["name"])
+    rows = R.written(R.gathered(rows, maybe.count()), "open-nodes")
+    whole = texts_of(documents, doc_id, text, rows.select("key").distinct(), rows.count()).mapInArrow(set_rows(size), "name binary, members binary").dropDuplicates(["name"])
     pairs = paired(rows.join(R.written(whole, "sets"), "name"), F.greatest("n_shingles", few), *columns, "members")
     R.small_batches(spark, 8)
     found = R.written(pairs.mapInArrow(block_links(percent), "a long, b long").distinct(), "links")
@@ -339,17 +339,19 @@ def blocked(buckets: DataFrame, nodes: DataFrame, documents: DataFrame, doc_id:
 def grouped(nodes: DataFrame, documents: DataFrame, doc_id: str, text: str, percent: int, size: int) -> DataFrame:
     """(node, component) of nodes that have links."""
     bands = nodes.select("node", F.posexplode("sketch").alias("band", "value"))
-    keys = R.written(bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "keys")
-    buckets = R.written(R.met(bands, keys, ["band", "value"], "node").where("node <> pivot").select("band", "value", "node", "pivot"), "buckets")
-    pairs = R.written(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    most = BANDS * nodes.count()
+    keys = R.written(R.gathered(bands.groupBy("band", "value").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), most), "keys")
+    buckets = R.written(R.gathered(R.met(bands, keys, ["band", "value"], "node").where("node <> pivot").select("band", "value", "node", "pivot"), most), "buckets")
+    most = buckets.count()
+    pairs = R.written(R.gathered(buckets.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), most), "pairs")
     found = links(pairs, nodes, documents, doc_id, text, percent, size)
     # buckets whose members beside the pivot, which is compared with all, are in several components
     named = buckets.select("band", "value", "node").join(components(found), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    named = R.written(named, "named")
+    named = R.written(R.gathered(named, most), "named")
     open_ = named.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("component").alias("least"), F.max("component").alias("last")).where("least <> last")
-    open_ = R.written(open_.select("band", "value", "n"), "open-keys")
+    open_ = R.written(R.gathered(open_.select("band", "value", "n"), most), "open-keys")
     # two buckets of one hash are one, whose members meet a few more than they need
-    left = R.written(R.met(named, open_, ["band", "value"], "node").select(F.xxhash64("band", "value").alias("bucket"), "node", "component"), "open")
+    left = R.written(R.gathered(R.met(named, open_, ["band", "value"], "node").select(F.xxhash64("band", "value").alias("bucket"), "node", "component"), most), "open")
     if left.limit(1).count():
         found = found.union(blocked(left, nodes, documents, doc_id, text, percent, size))
     return components(found)
@@ -376,11 +378,11 @@ def judged(documents: DataFrame, percent: int, size: int, doc_id: str, text: str
     rows = R.written(A.extend(rows, "text", SKETCH, lambda part: sketched(part, "text", size)).drop("text"), "sketches")
     # a node is a different set, known by its least row's number
     nodes = rows.where("name is not null").groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("doc"))
-    nodes = R.written(nodes.join(rows.select(F.col("row").alias("node"), "key", "n_shingles", "sketch"), "node"), "nodes")
+    nodes = R.written(R.gathered(nodes.join(rows.select(F.col("row").alias("node"), "key", "n_shingles", "sketch"), "node"), rows.count()), "nodes")
     names = grouped(nodes, documents, doc_id, text, percent, size)
     named = nodes.select("node", "doc", "name").join(names, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc").alias("component_id"))
-    owner = R.written(named.join(least, "component").select("name", "component_id"), "owners")
+    owner = R.written(R.gathered(named.join(least, "component").select("name", "component_id"), nodes.count()), "owners")
     out = rows.select("doc_id", "n_shingles", "name", "key").join(owner, "name", "left")
     component = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "key")

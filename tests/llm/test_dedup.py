@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.llm import _runtime as R
 from plumbline.llm import lines, neardup
 from plumbline.llm.components import components
 
@@ -130,6 +131,31 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_few_rows_are_few_files(spark, monkeypatch):
+    """Tables of a few numbers have a few files, however many partitions a shuffle has."""
+    files, write = defaultdict(list), R.written
+
+    def counted(df, name, *rest):
+        out = write(df, name, *rest)
+        files[name].append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(R, "written", counted)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    words = [f"w{i}" for i in range(40)]
+    rows = [(10 * g + i, " ".join([f"{g}", *words[g % 20 :], *(f"{g}_{k}" for k in range(30)), *["x"] * i])) for g in range(60) for i in range(3)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {d: d // 10 * 10 for d, _ in rows}
+    assert max(max(files[name]) for name in ("nodes", "keys", "buckets", "pairs", "text-keys", "names", "named", "owners")) <= R.FILES, dict(files)
+
+
 def brute_lines(rows, least):
     order = sorted(rows, key=lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or ""))
     seqs = [[(n, s) for n, s in enumerate((t or "").split("\n")) if re.search(r"[^\x20\x09-\x0D]", s)] for _, t in order]
